@@ -1 +1 @@
-
+"""File-source streams of tag texts."""
