@@ -3,7 +3,7 @@
 Documents are cut into pieces of at most the largest length.  Best-fit decreasing then runs over
 the histogram of piece lengths, which has no more entries than the largest length whatever the
 number of documents: all pieces of a length are placed at once into ranges of equal open bins, the
-tightest room first.  Where no open bin has room, the permitted length is opened whose cost for
+tightest room first (of equal room the shorter bin).  Where no open bin has room, the permitted length is opened whose cost for
 each piece of that length is least, cost(C) = ``overhead`` + C + C * C / ``quadratic``, ties to
 the shorter.  When all pieces are placed, each bin shrinks to the least permitted length that
 holds its contents.  The plan says, for each length, which run of ranks goes to which run of
@@ -71,7 +71,8 @@ def plan(histogram: dict[int, int], p: PackParams) -> tuple[list[tuple], list[tu
                 next_bin += n
                 continue
             room = open_rooms[k]
-            at, n, capacity = run = runs[room][-1]
+            run = min(runs[room], key=lambda r: (r[2], r[0]))  # of equal room the shorter bin, then the earlier
+            at, n, capacity = run
             # a bin that got a piece has the tightest room left, so bins fill up one after another
             layers = room // length
             take = min(n, left // layers)
@@ -79,7 +80,7 @@ def plan(histogram: dict[int, int], p: PackParams) -> tuple[list[tuple], list[tu
                 take, layers = 1, left
             placed += [(length, rank + j * take, at, room - j * length, capacity) for j in range(layers)]
             if take == n:
-                runs[room].pop()
+                runs[room].remove(run)
                 if not runs[room]:
                     del runs[room]
                     open_rooms.pop(k)

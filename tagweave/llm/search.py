@@ -2,8 +2,9 @@
 
 Vectors are scaled to length 1 and turned by a fixed random rotation.  K-means on a bounded sample
 (``sample`` rows) gives the centres; every vector joins the list of its nearest centre.  A query
-probes its nearest lists until they hold at least ``scan_factor * sqrt(n)`` vectors (and no fewer than it must
-return).  Within a list the columns are read in blocks: after each block a candidate is
+probes its nearest lists until they hold a share of all vectors that is measured on the sample: the share
+that finds ``recall`` of the sample's own nearest neighbours (no fewer vectors than it must return).  In a larger
+set neighbours are nearer, so the share errs on the safe side.  Within a list the columns are read in blocks: after each block a candidate is
 dropped when its partial distance, scaled to all columns, exceeds the query's present bound by more than
 chance allows (the test is (1 + ``epsilon`` / sqrt(d)) ** 2 on d read columns of a rotated
 vector).  The score of what remains is the cosine of the original vectors in double precision.
@@ -33,7 +34,8 @@ class SearchParams:
     sample: int = 20000
     iterations: int = 10
     most_lists: int = 4096
-    scan_factor: float = 60.0
+    recall: float = 0.97
+    trial: int = 256  # sample rows whose neighbours are looked up for the share
     columns: int = 16
     epsilon: float = 2.1
     block_rows: int = 4096
@@ -65,6 +67,21 @@ def centres(x: np.ndarray, n: int, p: SearchParams) -> np.ndarray:
     return c
 
 
+def share_to_probe(x: np.ndarray, c: np.ndarray, p: SearchParams) -> float:
+    """Share of the vectors in the lists to probe, by the sample's own neighbours."""
+    own = np.argmax(x @ c.T, axis=1)
+    sizes = np.bincount(own, minlength=len(c))
+    q = np.random.default_rng(p.seed).choice(len(x), min(p.trial, len(x)), replace=False)
+    near = x[q] @ x.T
+    near[np.arange(len(q)), q] = -2.0
+    top = np.argsort(-near, axis=1)[:, : min(p.k, len(x) - 1)]
+    order = np.argsort(-(x[q] @ c.T), axis=1, kind="stable")
+    seen = np.cumsum(sizes[order], axis=1)  # vectors up to and with each list
+    place = np.argsort(order, axis=1)
+    need = seen[np.arange(len(q))[:, None], place[np.arange(len(q))[:, None], own[top]]]
+    return float(np.quantile(need, p.recall)) / len(x) if need.size else 1.0
+
+
 def scan(q: np.ndarray, x: np.ndarray, need: int, p: SearchParams) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query row, candidate row) that survive the adaptive scan of rotated unit vectors."""
     dim, m = q.shape[1], len(x)
@@ -111,7 +128,8 @@ def nearest(df: DataFrame, is_query: Column, p: SearchParams = SearchParams()) -
     some = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).collect()
     dim = len(some[0]["v"])
     turn = rotation(dim, p.seed)
-    mid = centres(unit(_stacked(r["v"] for r in some)) @ turn, max(1, min(p.most_lists, round(np.sqrt(n)))), p)
+    drawn = unit(_stacked([r["v"] for r in some])) @ turn
+    mid = centres(drawn, max(1, min(p.most_lists, round(np.sqrt(n)))), p)
 
     def assign(batches):
         for batch in batches:
@@ -123,12 +141,12 @@ def nearest(df: DataFrame, is_query: Column, p: SearchParams = SearchParams()) -
     sizes = np.zeros(len(mid), np.int64)
     for r in index.groupBy("list").count().collect():  # at most most_lists rows
         sizes[r[0]] = r[1]
-    least = max(p.scan_factor * np.sqrt(n), 2 * p.k + 2)
+    least = max(share_to_probe(drawn, mid, p) * n, 2 * p.k + 2)
     blocks = np.maximum(1, -(-sizes // p.block_rows))
 
     def probe(batches):
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
                 x = unit(batch.column("v").flatten().to_numpy().reshape(batch.num_rows, dim)) @ turn
                 order = np.argsort(-(x @ mid.T), axis=1, kind="stable")
                 seen = np.cumsum(sizes[order], axis=1) - sizes[order]
