@@ -169,13 +169,18 @@ def http_parts(body: bytes) -> tuple[int, bytes]:
 
 
 def planned(pages: DataFrame, p: WarcParams) -> DataFrame:
-    """Pages with digest, size, record_type, refers_to and refers_url."""
+    """Pages with digest, size, record_type, refers_to and refers_url.
+
+    Which pages are revisits is settled on ids and digests alone; payloads are dealt at most once."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long"))
-    same = rows.filter(F.col("size") >= p.revisit_bytes).groupBy(F.col("digest").alias("d")).agg(F.count("*").alias("n"), F.max("page_id").alias("first"), F.max_by("url", "page_id").alias("first_url")).filter("n > 1")
-    joined = rows.join(same, (F.col("digest") == F.col("d")) & (F.col("size") >= p.revisit_bytes), "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", F.when(revisit, F.lit("")).otherwise(F.col("html")).alias("html"), "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"), F.when(revisit, F.col("first_url")).alias("refers_url"))
+    large = rows.filter(F.col("size") >= p.revisit_bytes).select("page_id", "url", "digest")
+    same = large.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first"), F.max_by("url", "page_id").alias("first_url")).filter("n > 1 AND first IS NOT NULL")
+    later = large.join(same, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first")))
+    later = later.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first", "first_url").distinct()
+    joined = rows.join(later, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    revisit = F.col("first").isNotNull()
+    return joined.select("page_id", "url", F.when(revisit, F.lit("")).otherwise(F.col("html")).alias("html"), "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("first").alias("refers_to"), F.col("first_url").alias("refers_url"))
 
 
 def write(pages: DataFrame, to: str, p: WarcParams = WarcParams()) -> DataFrame:
@@ -210,7 +215,7 @@ def write(pages: DataFrame, to: str, p: WarcParams = WarcParams()) -> DataFrame:
     filesystem, base = fs.FileSystem.from_uri(to)
     filesystem.create_dir(base, recursive=True)
     rows = planned(pages, p)
-    dealt = rows.repartition("page_id").sortWithinPartitions("page_id", "digest", "url")
+    dealt = rows.sortWithinPartitions("page_id", "digest", "url")
     return table(dealt.mapInArrow(run, INDEX_SCHEMA), "warc-index")
 
 
