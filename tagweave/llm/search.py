@@ -43,9 +43,14 @@ class SearchParams:
     seed: int = 11
 
 
+def tamed(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that no product over- or underflows; digits stay the same."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1, whatever their magnitude."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = tamed(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -169,12 +174,12 @@ def nearest(df: DataFrame, is_query: Column, p: SearchParams = SearchParams()) -
     def within(found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(found) or not len(wanted):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        q, x = unit(_stacked(wanted["v"])), unit(_stacked(found["v"]))
-        a, b = scan(q @ turn, x @ turn, p.k + 1, p)
+        q, x = tamed(_stacked(wanted["v"])), tamed(_stacked(found["v"]))
+        a, b = scan(unit(q) @ turn, unit(x) @ turn, p.k + 1, p)
         ids, names = found["vec_id"].to_numpy(), wanted["query_id"].to_numpy()
         other = ids[b] != names[a]
         a, b = a[other], b[other]
-        out = pd.DataFrame({"query_id": names[a], "vec_id": ids[b], "score": (q[a] * x[b]).sum(axis=1), "row": a})
+        out = pd.DataFrame({"query_id": names[a], "vec_id": ids[b], "score": (q[a] * x[b]).sum(axis=1) / (np.sqrt((q * q).sum(axis=1))[a] * np.sqrt((x * x).sum(axis=1))[b]), "row": a})
         out = out.sort_values(["row", "score", "vec_id"], ascending=[True, False, True])
         return out.groupby("row").head(p.k)[["query_id", "vec_id", "score"]]
 

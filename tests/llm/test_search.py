@@ -23,7 +23,7 @@ def brute(vectors, is_query, k):
 
 
 def test_edge_vectors(spark):
-    good = [(i, [float(np.cos(i)), float(np.sin(i)), 0.5]) for i in range(12)]
+    good = [(i, [float(np.cos(i)), float(np.sin(i)), 0.5 + i / 70]) for i in range(12)]
     bad = [(50, None), (51, [0.0, 0.0, 0.0]), (52, [float("nan"), 1.0, 1.0]), (53, [None, 1.0, 1.0]), (54, [float("inf"), 0.0, 0.0]), (55, [1.0, 2.0]), (56, []), (None, [1.0, 1.0, 1.0])]
     same = [(i, [3.0, 1.0, 2.0]) for i in range(20, 45)] + [(20, [3.0, 1.0, 2.0])]
     vectors = good + same[:-1]
