@@ -305,7 +305,7 @@ def quarantine_route(spark, d):
     return read(spark, d, "labels").select("doc_id", files.route(r).alias("route"))
 
 
-@query("page_slice", f"WITH {FILES} SELECT path FROM fl ORDER BY ordinal LIMIT 200 OFFSET 400")
+@query("page_slice", f"WITH {FILES} SELECT path FROM (SELECT path, row_number() OVER (ORDER BY ordinal) - 1 AS i, count(*) OVER () AS n FROM fl) WHERE CASE WHEN n > 400 THEN i BETWEEN 400 AND 599 ELSE i < 200 END")
 def page_slice(spark, d):
     return files.page(views.files(spark, d), [F.col("ordinal")], 2).select("path")
 
