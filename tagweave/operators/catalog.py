@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagweave.functions import bpe, detections, filterql, geometry, loctokens, pixels, scores, tags, vocab
+from tagweave.functions import bpe, detections, filterql, geometry, loctokens, pixels, scores, tags, tokenizer, vocab
 from tagweave.operators import models, views
 from tagweave.operators.views import FILES, IMAGE_SIZES, ORDER_BOXES, ORDER_TAGS, PROMPT_RAW, TOKEN_TEXT, read
 from tagweave.sources import files
 from tagweave.streaming import frequency
 
 Query = Callable[[SparkSession, str], DataFrame]
+TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 CATALOG: dict[str, tuple[Query, str | None]] = {}
 
 
@@ -310,12 +311,22 @@ def page_slice(spark, d):
     return files.page(views.files(spark, d), [F.col("ordinal")], 2).select("path")
 
 
-@query("outlier_free_backup", f"WITH {FILES} SELECT 'backup/' || stem || ext AS target, path FROM fl WHERE contains('{files.IMAGES}', lower(ext))")
-def outlier_free_backup(spark, d):
+@query("backup_files", f"WITH {FILES} SELECT 'backup/' || stem || ext AS target, path FROM fl WHERE contains('{files.IMAGES}', lower(ext))")
+def backup_files(spark, d):
     f = views.files(spark, d).filter(files.listed(F.col("path"), F.col("ext"), files.IMAGES))
     return f.select(F.concat(F.lit("backup/"), "stem", "ext").alias("target"), "path")
 
 
+@query("base64_export", "SELECT page_id, base64(encode(html)) AS data FROM pages")
+def base64_export(spark, d):
+    return read(spark, d, "pages").select("page_id", F.base64(F.encode("html", "UTF-8")).alias("data"))
+
+
+@query("quarantine_counts", "SELECT CASE WHEN toxic = 1 OR quality = 0 THEN 'failed' ELSE 'captioned' END AS route, count(*) AS n FROM labels GROUP BY 1")
+def quarantine_counts(spark, d):
+    return quarantine_route(spark, d).groupBy("route").agg(F.count("*").alias("n"))
+
+
 # ---- scores
 
 
@@ -631,6 +642,13 @@ def bpe_tokens(spark, d):
     return read(spark, d, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens int, round_trip boolean")
 
 
+@query("caption_tokens")
+def caption_tokens(spark, d):
+    """Tokens of every tag text by the public caption tokenizer, and whether they pass the encoder's limit."""
+    t = views.order_tags(spark, d).select("k", tokenizer.caption_tokens(F.col("tags"), TOKENIZER).alias("n_tokens"))
+    return t.select("k", "n_tokens", (F.col("n_tokens") > tokenizer.LIMIT).alias("over"))
+
+
 @query("dpid_resample")
 def dpid_resample(spark, d):
     @F.pandas_udf("array<int>")
