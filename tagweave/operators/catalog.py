@@ -319,7 +319,7 @@ def backup_files(spark, d):
 
 @query("base64_export", "SELECT page_id, base64(encode(html)) AS data FROM pages")
 def base64_export(spark, d):
-    return read(spark, d, "pages").select("page_id", F.base64(F.encode("html", "UTF-8")).alias("data"))
+    return read(spark, d, "pages").select("page_id", F.regexp_replace(F.base64(F.encode("html", "UTF-8")), r"[\r\n]", "").alias("data"))
 
 
 @query("quarantine_counts", "SELECT CASE WHEN toxic = 1 OR quality = 0 THEN 'failed' ELSE 'captioned' END AS route, count(*) AS n FROM labels GROUP BY 1")
