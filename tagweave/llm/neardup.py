@@ -8,7 +8,9 @@ decide every pair of a bucket, without ever listing all pairs of a group:
 
 1. each node against the bucket's least node with which it shares most buckets,
 2. each node against a pivot that every bucket draws anew, unless both are in one component by then,
-3. nodes outside a bucket's largest component against its members in other components.
+3. nodes outside a bucket's largest component against its members in other components: as pairs
+   in buckets of at most ``pair_bucket`` nodes; in larger ones whole shingle sets meet in cells of at most about
+   ``cell`` outsiders and ``cell`` members, are counted against each other by matrix products, and only links leave the cell.
 
 A pair is put aside when its signatures agree in too few places for the asked similarity (six
 standard deviations below it), else it is confirmed on the full shingle sets of the two whole
@@ -44,6 +46,9 @@ class NearDupParams:
     rows: int = 4  # values in a band, half of them minima
     seed: int = 99
     per_salt: int = 256  # pairs of one centre in one task
+    pair_bucket: int = 24
+    cell: int = 256
+    columns: int = 4096  # shingles counted at once in a cell
 
     @property
     def permutations(self) -> int:
@@ -170,6 +175,66 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDupPa
     return table(ordered.mapInArrow(run, "u long, v long"), "minmax-links")
 
 
+def shared_counts(rows: list[np.ndarray], columns: list[np.ndarray], width: int) -> np.ndarray:
+    """Intersection sizes of every row set with every column set."""
+    every = np.concatenate([*rows, *columns])
+    values, code, times = np.unique(every, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    owner = np.repeat(np.arange(len(rows) + len(columns)), [len(x) for x in (*rows, *columns)])
+    keep = times[code] > 1
+    owner, code = owner[keep], number[code[keep]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for at in range(0, int((times > 1).sum()), width):
+        a, b = np.searchsorted(code, [at, at + width])
+        m = np.zeros((len(rows) + len(columns), width), np.float32)
+        m[owner[a:b], code[a:b] - at] = 1
+        out += m[: len(rows)] @ m[len(rows) :].T
+    return out
+
+
+def _within_cells(placed: DataFrame, sizes: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
+    """Confirmed links (u, v) between outsiders and members of other components, cell by cell."""
+    here = placed.join(sizes, "key").withColumn("obs", F.expr(f"cast((total - most) div {p.cell} + 1 AS int)")).withColumn("mbs", F.expr(f"cast(total div {p.cell} + 1 AS int)"))
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = here.filter("own != largest").select("key", mine("obs").alias("ob"), every("mbs").alias("mb"), F.lit(0).alias("role"), "node", "own")
+    inside = here.select("key", every("obs").alias("ob"), mine("mbs").alias("mb"), F.lit(1).alias("role"), "node", "own")
+    rows = outside.unionByName(inside).join(nodes.select("node", "rep"), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    loaded = rows.join(texts, "rep").select("key", "ob", "mb", "role", "node", "own", "text")
+    ordered = loaded.repartition("key", "ob", "mb").sortWithinPartitions("key", "ob", "mb", "role")
+
+    def links(cell):
+        a, b = ([x for x in cell if x[0] == role] for role in (0, 1))
+        if not a or not b:
+            return [], []
+        n, m = (np.array([len(x[3]) for x in side], np.float32) for side in (a, b))
+        both = shared_counts([x[3] for x in a], [x[3] for x in b], p.columns)
+        apart = np.array([x[2] for x in a])[:, None] != np.array([x[2] for x in b])[None, :]
+        i, j = np.nonzero(apart & (p.similar_den * both >= p.similar_num * (n[:, None] + m[None, :] - both)))
+        return [a[x][1] for x in i], [b[x][1] for x in j]
+
+    def run(batches):
+        now, cell = None, []
+        for batch, buf, offs in slices(batches):
+            sets = shingle_sets(buf, offs, p.width)
+            u, v = [], []
+            for key, ob, mb, role, node, own, s in zip(*(batch.column(c).to_pylist() for c in ("key", "ob", "mb", "role", "node", "own")), sets, strict=True):
+                if now != (key, ob, mb):
+                    x, y = links(cell)
+                    u, v = u + x, v + y
+                    now, cell = (key, ob, mb), []
+                if len(s) and node_of(s) == node:
+                    cell.append((role, node, own, s))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        u, v = links(cell)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return table(ordered.mapInArrow(run, "u long, v long").distinct(), "minmax-cells")
+
+
 def _with_component(rows: DataFrame, comps: DataFrame, node: str, into: str) -> DataFrame:
     c = comps.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
     return rows.join(c, F.col(node) == F.col("_u"), "left").withColumn(into, F.coalesce("_v", node)).drop("_u", "_v")
@@ -201,10 +266,12 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     comps = components(links)
 
     placed = table(_with_component(members.select("key", "node"), comps, "node", "own"), "minmax-placed")
-    sizes = placed.groupBy("key", "own").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "own")).alias("x"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("x.own").alias("largest"))
-    outside = placed.join(sizes, "key").filter("own != largest").select("key", F.col("node").alias("x"), F.col("own").alias("x_own"))
+    sizes = placed.groupBy("key", "own").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "own")).alias("x"), F.sum("m").alias("total"), F.count("*").alias("c")).filter("c > 1")
+    sizes = table(sizes.select("key", "total", F.col("x.m").alias("most"), F.col("x.own").alias("largest")), "minmax-unsettled")
+    few, many = sizes.filter(F.col("total") <= p.pair_bucket), sizes.filter(F.col("total") > p.pair_bucket)
+    outside = placed.join(few, "key").filter("own != largest").select("key", F.col("node").alias("x"), F.col("own").alias("x_own"))
     rest = outside.join(placed, "key").filter("own != x_own").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    links = comps.unionByName(_confirmed(rest, nodes, docs, p))
+    links = comps.unionByName(_confirmed(rest, nodes, docs, p)).unionByName(_within_cells(placed, many, nodes, docs, p))
     comps = components(links)
 
     homes = _with_component(nodes.select("node", "rep"), comps, "node", "home")
@@ -219,7 +286,7 @@ def deduplicated(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFra
     """Rows of ``docs`` less all but one document of each class; the one of the least id stays."""
     found = classes(docs, p)
     gone = found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
