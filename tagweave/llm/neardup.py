@@ -47,7 +47,7 @@ class NearDupParams:
     seed: int = 99
     per_salt: int = 256  # pairs of one centre in one task
     pair_bucket: int = 24
-    cell: int = 256
+    cell: int = 1024
     columns: int = 4096  # shingles counted at once in a cell
 
     @property
@@ -199,15 +199,19 @@ def _within_cells(placed: DataFrame, sizes: DataFrame, nodes: DataFrame, docs: D
     here = placed.join(sizes, "key").withColumn("obs", F.expr(f"cast((total - most) div {p.cell} + 1 AS int)")).withColumn("mbs", F.expr(f"cast(total div {p.cell} + 1 AS int)"))
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outside = here.filter("own != largest").select("key", mine("obs").alias("ob"), every("mbs").alias("mb"), F.lit(0).alias("role"), "node", "own")
-    inside = here.select("key", every("obs").alias("ob"), mine("mbs").alias("mb"), F.lit(1).alias("role"), "node", "own")
+    here = here.withColumn("out", F.col("own") != F.col("largest")).withColumn("my_ob", mine("obs")).withColumn("my_mb", mine("mbs"))
+    # an outsider comes once to each cell of its block; it is a member too where the cell is that of its member block
+    outside = here.filter("out").select("key", F.col("my_ob").alias("ob"), every("mbs").alias("mb"), "my_mb", "node", "own")
+    outside = outside.select("key", "ob", "mb", F.when(F.col("mb") == F.col("my_mb"), 2).otherwise(0).alias("role"), "node", "own")
+    inside = here.select("key", "out", "my_ob", every("obs").alias("ob"), F.col("my_mb").alias("mb"), F.lit(1).alias("role"), "node", "own")
+    inside = inside.filter("NOT out OR ob != my_ob").select("key", "ob", "mb", "role", "node", "own")
     rows = outside.unionByName(inside).join(nodes.select("node", "rep"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     loaded = rows.join(texts, "rep").select("key", "ob", "mb", "role", "node", "own", "text")
     ordered = loaded.repartition("key", "ob", "mb").sortWithinPartitions("key", "ob", "mb", "role")
 
     def links(cell):
-        a, b = ([x for x in cell if x[0] == role] for role in (0, 1))
+        a, b = ([x for x in cell if x[0] in roles] for roles in ((0, 2), (1, 2)))
         if not a or not b:
             return [], []
         n, m = (np.array([len(x[3]) for x in side], np.float32) for side in (a, b))

@@ -63,7 +63,8 @@ def test_chains_and_groups(spark, words):
             copy[rng.randrange(60)] = rng.choice(words)
         rows.append((len(rows), " ".join(copy), "en", "src0"))
     rng.shuffle(rows)
-    out = neardup.classes(make_docs(spark, rows), neardup.NearDupParams(width=2, per_salt=7)).collect()
+    p = neardup.NearDupParams(width=2, per_salt=7, pair_bucket=3, cell=8, columns=64)
+    out = neardup.classes(make_docs(spark, rows), p).collect()
     assert {r.doc_id: r.component_id for r in out} == brute(rows, 2)
 
 
