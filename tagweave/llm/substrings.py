@@ -3,14 +3,15 @@
 A window is ``width`` consecutive words of one document.  Every word that lies in a window whose
 word sequence also starts earlier (smaller doc_id, or the same document and an earlier start) goes.
 
-1. Confirm: window hashes of all documents are dealt by hash; of each hash the earliest place is
-   found, and all later places are recurrences.  Each slice of documents sends only its own
-   earliest place of a hash, so that a very common passage arrives once per slice, not per document.
-2. Compile: documents are dealt into shards, together with the recurrences found in them.  Runs of
-   recurring windows are passages; for each slice of a shard an Aho-Corasick automaton
-   (pyahocorasick, one letter per distinct word) holds the passages of its documents.
-3. Stream: all documents pass through the automaton of their slice, which locates every occurrence
-   of every passage; occurrences other than the earliest are removed.
+1. Deal: the least hash of a window's three-word runs names its shard, so equal windows meet whatever
+   documents they are in.  Neighbouring windows mostly share it and travel as one piece of text.  Every
+   window of every document is sent; of pieces with equal bytes in one slice only the earliest, and
+   the windows of the others are later places.
+2. Confirm and compile: windows of a shard whose hashes recur are compared word by word, and each distinct
+   word sequence is compiled into an Aho-Corasick automaton (pyahocorasick, one letter per distinct word);
+   an automaton holds at most ``patterns`` of them.
+3. Stream: all pieces of the shard pass through all its automata.  Their hits are the occurrences; those
+   other than a sequence's earliest go back to their documents, which lose these words.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; kept words are joined by one space.  Null texts have no words.
 Null ids count as the least id.  Rows that share a doc_id are parts of one document in the order of their texts; equal
@@ -20,19 +21,22 @@ such rows are judged alike, and none of them is earlier than the other.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.llm.rows import groups, identified, packed, shard_of, unpacked
-from tagweave.llm.text import Words, rolling, slices
+from tagweave.llm.text import Words, mix, rolling, slices
 from tagweave.plans.storage import table, tasks_for
 
 _PART = 40  # bits for the word's place within one row
+_RUN = 3  # words of the runs whose least hash names the shard of a window
 
 
 @dataclass(frozen=True)
@@ -40,6 +44,8 @@ class SubstringParams:
     width: int = 20
     slice_bytes: int = 1 << 21
     spread: int = 2  # parts for each shuffle partition
+    bucket_bytes: int = 1 << 22  # text of a shard that is searched at a time
+    patterns: int = 50_000  # word sequences of one automaton; times ``width`` below the number of letters
 
 
 def _recurring(keys: np.ndarray, places: np.ndarray, shards: int):
@@ -52,65 +58,156 @@ def _recurring(keys: np.ndarray, places: np.ndarray, shards: int):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kind, part, hashes, blob = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(hashes, pa.binary()), pa.array(blob, pa.binary())], names=["kind", "part", "hashes", "blob"])
+    kind, part, text, blob = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(text, pa.binary()), pa.array(blob, pa.binary())], names=["kind", "part", "text", "blob"])
 
 
-def _windows(parts: int, shards: int, p: SubstringParams):
+def _least(h: np.ndarray, n: int) -> np.ndarray:
+    """Least of every ``n`` consecutive values."""
+    size = 1
+    while size * 2 <= n:
+        h = np.minimum(h[:-size], h[size:])
+        size *= 2
+    return np.minimum(h[: len(h) - (n - size)], h[n - size :])
+
+
+def _expanded(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), then those of first[1], and so on."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def _pieces(parts: int, shards: int, p: SubstringParams):
     def run(batches):
         for batch, buf, offs in slices(batches, limit=p.slice_bytes):
             w = Words(buf, offs)
-            r = rolling(w.hashes(lower=False), p.width)
+            h = w.hashes(lower=False)
+            if len(h) < p.width:
+                continue
+            run_words = min(_RUN, p.width)
+            name = mix(_least(rolling(h, run_words), p.width - run_words + 1))
             doc = np.repeat(np.arange(len(offs) - 1), w.counts)
-            i = np.flatnonzero(doc[: len(r)] == doc[p.width - 1 :]) if len(r) else np.zeros(0, np.int64)
+            i = np.flatnonzero(doc[: len(name)] == doc[p.width - 1 :])
             if not len(i):
                 continue
-            key_of = batch.column("_key").to_numpy()
-            base = batch.column("_k").to_numpy().astype(np.int64) << _PART
-            keys, places, hashes = key_of[doc[i]], base[doc[i]] + i - w.first[doc[i]], r[i]
-            if (np.diff(key_of) < 0).any() or (np.diff(key_of) == 0).any():
-                order = np.lexsort((places, keys))
-                keys, places, hashes = keys[order], places[order], hashes[order]
-            order = np.argsort(hashes, kind="stable")
-            h = hashes[order]
-            same = np.concatenate([[False], h[1:] == h[:-1]])
+            cut = np.flatnonzero((np.diff(i) > 1) | (doc[i[1:]] != doc[i[:-1]]) | (name[i[1:]] != name[i[:-1]])) + 1
+            at = i[np.concatenate([[0], cut])]
+            windows = np.diff(np.concatenate([[0], cut, [len(i)]]))
+            keys = batch.column("_key").to_numpy()[doc[at]]
+            places = (batch.column("_k").to_numpy().astype(np.int64) << _PART)[doc[at]] + at - w.first[doc[at]]
+            order = np.lexsort((places, keys))
+            at, windows, keys, places = at[order], windows[order], keys[order], places[order]
+            raw = buf.tobytes()
+            texts = [raw[s:e] for s, e in zip(w.start[at].tolist(), w.end[at + windows + p.width - 2].tolist(), strict=True)]
+            seen: dict[bytes, int] = {}
+            lead = np.array([seen.setdefault(t, n) for n, t in enumerate(texts)])
             # equal rows share keys and places: such a twin is no later place
-            twin = same & np.concatenate([[False], (keys[order][1:] == keys[order][:-1]) & (places[order][1:] == places[order][:-1])])
-            lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
-            twin |= same & (keys[order] == keys[order][lead]) & (places[order] == places[order][lead])
-            later = order[same & ~twin]
-            rows = list(_recurring(keys[later], places[later], shards))
-            sent = np.sort(order[~same])
-            part = ((hashes[sent] >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+            later = np.flatnonzero((keys != keys[lead]) | (places != places[lead]))
+            rows = list(_recurring(np.repeat(keys[later], windows[later]), _expanded(places[later], windows[later]), shards))
+            sent = np.flatnonzero(lead == np.arange(len(lead)))
+            part = (name[at[sent]] % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             sent, part = sent[order], part[order]
+            tag = (name[at[sent]] >> np.uint64(48)).astype(np.int64)
             for a, b in groups(part):
-                s = sent[a:b]
-                rows.append((0, int(part[a]), hashes[s].tobytes(), packed(keys[s], places[s])))
+                mine = sent[a:b]
+                text = zstandard.ZstdCompressor(level=1).compress(b"".join([texts[n] for n in mine.tolist()]))
+                size = np.array([len(texts[n]) for n in mine.tolist()], np.int64)
+                rows.append((0, int(part[a]), text, packed(keys[mine], places[mine], size, tag[a:b])))
             yield _batch(rows)
 
     return run
 
 
-def _earliest(shards: int):
+def _words(w: Words) -> np.ndarray:
+    """Numbers of the words, equal for equal words only: hashes are checked against the bytes."""
+    _, first, codes = np.unique(w.hashes(lower=False), return_index=True, return_inverse=True)
+    size, rep = w.end - w.start, first[codes]
+    same = bool((size == size[rep]).all())
+    if same:
+        same = bool((w.buf[_expanded(w.start, size)] == w.buf[_expanded(w.start[rep], size)]).all())
+    if not same:
+        raw, numbers = w.buf.tobytes(), {}
+        codes = np.array([numbers.setdefault(raw[s:e], len(numbers)) for s, e in zip(w.start.tolist(), w.end.tolist(), strict=True)])
+    return codes
+
+
+def located(codes: np.ndarray, first: np.ndarray, hashes: np.ndarray, p: SubstringParams) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows that an automaton hits, and the number of the word sequence hit.
+
+    ``codes`` are the words of several pieces, piece i at first[i]:first[i + 1]; ``hashes`` those of all windows,
+    by which the word sequences to search for are chosen: those of windows whose hash recurs."""
+    count = np.diff(first)
+    starts = _expanded(first[:-1], np.maximum(count - p.width + 1, 0))
+    _, lead, back, times = np.unique(hashes[starts], return_index=True, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(times[back] > 1)
+    wanted = starts[lead[times > 1]]
+    span = np.arange(p.width)
+    other = [np.zeros(0, np.int64)]  # windows whose hash is that of other words
+    for a in range(0, len(again), 1 << 16):
+        n = again[a : a + (1 << 16)]
+        mine, rep = starts[n], starts[lead[back[n]]]
+        other.append(mine[(codes[mine[:, None] + span] != codes[rep[:, None] + span]).any(axis=1)])
+    if sum(map(len, other)):
+        wanted = np.concatenate([wanted, *other])
+        wanted = wanted[np.unique(codes[wanted[:, None] + span], axis=0, return_index=True)[1]]
+    found, number = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    place = np.arange(len(codes)) + np.repeat(np.arange(len(count)), count)  # one separator after each piece
+    for a in range(0, len(wanted), p.patterns):
+        rows = codes[wanted[a : a + p.patterns, None] + span]
+        used = np.unique(rows)
+        letter = np.zeros(int(codes.max()) + 1, np.int64)  # 0: in no sequence
+        letter[used] = np.arange(1, len(used) + 1)
+        machine = ahocorasick.Automaton()
+        joined = _letters(letter[rows].reshape(-1))
+        for n in range(len(rows)):
+            machine.add_word(joined[n * p.width : (n + 1) * p.width], a + n)
+        machine.make_automaton()
+        text = np.zeros(len(codes) + len(count), np.int64)
+        text[place] = letter[codes]
+        hit = np.fromiter(chain.from_iterable(machine.iter(_letters(text))), np.int64).reshape(-1, 2)
+        found.append(np.searchsorted(place, hit[:, 0] - p.width + 1))
+        number.append(hit[:, 1])
+    return np.concatenate(found), np.concatenate(number)
+
+
+def _later(keys: np.ndarray, places: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Which occurrences are not the earliest of their word sequence."""
+    order = np.lexsort((places, keys, number))
+    n = number[order]
+    lead = np.maximum.accumulate(np.where(np.concatenate([[False], n[1:] == n[:-1]]), 0, np.arange(len(n))))
+    return order[(keys[order] != keys[order][lead]) | (places[order] != places[order][lead])]
+
+
+def _searched(shards: int, p: SubstringParams):
     def run(batches):
-        hashes, pairs = [], []
+        texts, facts = [], []
         for batch in batches:
-            for kind, part, h, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for kind, part, text, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind:
-                    yield _batch([(kind, part, h, blob)])
+                    yield _batch([(kind, part, text, blob)])
                 else:
-                    hashes.append(np.frombuffer(h, np.uint64))
-                    pairs.append(unpacked(blob, 2))
-        if hashes:
-            h, pair = np.concatenate(hashes), np.concatenate(pairs, axis=1)
-            order = np.lexsort((pair[1], pair[0], h))
-            h, keys, places = h[order], pair[0][order], pair[1][order]
-            same = np.concatenate([[False], h[1:] == h[:-1]])
-            lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
-            later = same & ((keys != keys[lead]) | (places != places[lead]))
-            if later.any():
-                yield _batch(list(_recurring(keys[later], places[later], shards)))
+                    texts.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8))
+                    facts.append(unpacked(blob, 4))
+        if not facts:
+            return
+        buf = np.concatenate(texts)
+        keys, places, size, tag = np.concatenate(facts, axis=1)
+        del texts, facts
+        start = np.cumsum(size) - size
+        bucket = tag * (1 + len(buf) // p.bucket_bytes) >> 16
+        order = np.argsort(bucket, kind="stable")
+        for a, b in groups(bucket[order]):
+            mine = order[a:b]
+            offs = np.concatenate([[0], np.cumsum(size[mine])])
+            w = Words(buf[_expanded(start[mine], size[mine])], offs)
+            found, number = located(_words(w), w.first, rolling(w.hashes(lower=False), p.width), p)
+            if not len(found):
+                continue
+            piece = np.searchsorted(w.first, found, "right") - 1
+            k, at = keys[mine][piece], places[mine][piece] + found - w.first[piece]
+            later = _later(k, at, number)
+            if len(later):
+                yield _batch(list(_recurring(k[later], at[later], shards)))
 
     return run
 
@@ -168,24 +265,16 @@ def _removed(p: SubstringParams):
                 keys, places = pair[0][order], pair[1][order]
             for batch, buf, offs in slices([texts], limit=p.slice_bytes):
                 w = Words(buf, offs)
-                _, codes = np.unique(w.hashes(lower=False), return_inverse=True)
-                words, later = [], []
-                for d, (key, k) in enumerate(zip(batch.column("_key").to_pylist(), batch.column("_k").to_pylist(), strict=True)):
-                    a, b = np.searchsorted(keys, [key, key + 1]) if key < (1 << 63) - 1 else (np.searchsorted(keys, key), len(keys))
-                    mine = places[a:b]
-                    if len(mine):
-                        mine = np.unique(mine[(mine >> _PART) == k] & ((1 << _PART) - 1))
-                    words.append(codes[w.first[d] : w.first[d + 1]])
-                    later.append(mine)
-                found = occurrences(words, later, p.width)
                 kept, gone = [], []
                 raw = buf.tobytes()
-                for d, starts in enumerate(later):
+                for d, (key, k) in enumerate(zip(batch.column("_key").to_pylist(), batch.column("_k").to_pylist(), strict=True)):
+                    i, j = np.searchsorted(keys, [key, key + 1]) if key < (1 << 63) - 1 else (np.searchsorted(keys, key), len(keys))
+                    starts = places[i:j]
                     a, b = w.first[d], w.first[d + 1]
                     spans = list(zip(w.start[a:b].tolist(), w.end[a:b].tolist(), strict=True))
                     n = 0
                     if len(starts):
-                        hit = starts[found[d][starts]]  # occurrences less the earliest places
+                        hit = np.unique(starts[(starts >> _PART) == k] & ((1 << _PART) - 1))
                         steps = np.zeros(b - a + 1, np.int64)
                         np.add.at(steps, hit, 1)
                         np.add.at(steps, hit + p.width, -1)
@@ -203,9 +292,9 @@ def without_repeats(docs: DataFrame, p: SubstringParams = SubstringParams()) ->
     """``docs`` with the kept words as text (and new columns n_words, n_removed; clashing ones are replaced)."""
     rows = identified(docs, F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("_row"))
     parts = shards = p.spread * tasks_for(docs.sparkSession)
-    schema = "kind int, part int, hashes binary, blob binary"
-    sent = rows.select("_key", "_k", "text").mapInArrow(_windows(parts, shards, p), schema)
-    later = table(sent.repartitionById(parts, F.col("part")).mapInArrow(_earliest(shards), schema), "repeats")
+    schema = "kind int, part int, text binary, blob binary"
+    sent = rows.select("_key", "_k", "text").mapInArrow(_pieces(parts, shards, p), schema)
+    later = table(sent.repartitionById(parts, F.col("part")).mapInArrow(_searched(shards, p), schema), "repeats")
     row_type = rows.schema["_row"].dataType
     both = rows.select(F.lit(1).alias("_kind"), "_key", "_k", "_row", "text", F.lit(None).cast("binary").alias("_blob"))
     # the same deal as that of the recurrences: the high bits of a multiplicative hash

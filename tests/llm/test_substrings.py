@@ -65,3 +65,46 @@ def test_automaton_locates_every_occurrence():
                 if tuple(w[a : a + len(q)]) == q:
                     want[a : a + len(q) - 3] = True
         assert (got == want).all()
+
+
+def test_automata_decide(spark, words, monkeypatch):
+    """Window hashes that all agree, or automata of few sequences, change nothing: the hits on words decide."""
+    rng = random.Random(9)
+    passage = [rng.choice(words) for _ in range(70)]
+    texts = [[rng.choice(words) for _ in range(30)] + passage[a : a + 45] + [rng.choice(words) for _ in range(30)] for a in (0, 10, 25, 3)]
+    codes, first = np.unique(sum(texts, []), return_inverse=True)[1], np.cumsum([0] + [len(t) for t in texts])
+    p = substrings.SubstringParams(patterns=7)
+    found, number = substrings.located(codes, first, np.zeros(len(codes), np.uint64), p)
+    by_number, by_words = {}, {}
+    for at, n in zip(found.tolist(), number.tolist(), strict=True):
+        by_number.setdefault(n, set()).add(at)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        for at in range(a, b - 19):
+            by_words.setdefault(tuple(codes[at : at + 20]), set()).add(int(at))
+    assert sorted(map(sorted, by_number.values())) == sorted(map(sorted, by_words.values()))
+    # removals come from the hits: without them nothing goes but what has equal bytes in one slice
+    rows = [(i, " ".join(t), "en", "src0") for i, t in enumerate(texts)]
+    assert found_in_shard(rows, p) == {(i, s) for i, s in brute_later(texts)}
+    monkeypatch.setattr(substrings, "located", lambda *a: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert not found_in_shard(rows, p)
+
+
+def brute_later(texts, width=20):
+    seen = set()
+    for i, t in enumerate(texts):
+        for s in range(len(t) - width + 1):
+            k = tuple(t[s : s + width])
+            if k in seen:
+                yield i, s
+            seen.add(k)
+
+
+def found_in_shard(rows, p):
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([0], pa.int32()), pa.array([t])], names=["_key", "_k", "text"]) for i, t, *_ in rows]
+    out = set()
+    for b in substrings._searched(3, p)(substrings._pieces(2, 3, p)(batches)):
+        for blob in b.column("blob").to_pylist():
+            out |= {(int(k), int(s)) for k, s in zip(*substrings.unpacked(blob, 2), strict=True)}
+    return out
