@@ -268,7 +268,7 @@ def sidecar_join(spark, d):
     f = views.files(spark, d)
     named = f.select("ordinal", "dir", "stem")
     txt = read(spark, d, "labels").join(named, F.col("doc_id") == F.col("ordinal")).select("dir", "stem", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("text"))
-    caption = read(spark, d, "documents").filter("doc_id % 5 != 0").join(named, F.col("doc_id") == F.col("ordinal")).select("dir", "stem", "text")
+    caption = read(spark, d, "documents").join(named, F.col("doc_id") == F.col("ordinal")).select("dir", "stem", "text")
     return files.with_side_texts(f, txt, caption).select("path", "txt", "caption")
 
 
