@@ -71,11 +71,22 @@ def tags_replace(spark, d):
     return t.select("k", F.array_join(tags.replace_tags(F.col("t"), ["plate", "red plate", "ring", "plate"], ["dish", "dish", "band", "never"]), ", ").alias("tags"))
 
 
+# a part of a word is a letter, mark, digit or connector; words side by side share one gap, hence two passes
+_GAP = r"[^\pL\pM\p{Nd}\p{Pc}]"
+
+
+def _replaced(old: str, new: str) -> str:
+    def one(text: str) -> str:
+        return f"regexp_replace({text}, '(^|{_GAP}){old}($|{_GAP})', '\\1{new}\\2', 'gi')"
+
+    return f"list_transform(t, lambda p: CASE WHEN contains(p, '{new}') THEN p ELSE {one(one('p'))} END)"
+
+
 @query(
     "caption_find_replace",
-    r"""WITH a AS (SELECT doc_id, string_split(replace(replace(text, ', ', ','), '  ', ' '), ',') AS t FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\x00-\x7F]*')),
-b AS (SELECT doc_id, list_transform(t, lambda p: CASE WHEN contains(p, 'an') THEN p ELSE regexp_replace(p, '\bthe\b', 'an', 'gi') END) AS t FROM a),
-c AS (SELECT doc_id, list_transform(t, lambda p: CASE WHEN contains(p, 'or $1') THEN p ELSE regexp_replace(p, '\band\b', 'or $1', 'gi') END) AS t FROM b)
+    f"""WITH a AS (SELECT doc_id, string_split(replace(replace(text, ', ', ','), '  ', ' '), ',') AS t FROM documents),
+b AS (SELECT doc_id, {_replaced("the", "an")} AS t FROM a),
+c AS (SELECT doc_id, {_replaced("and", "or $1")} AS t FROM b)
 SELECT doc_id, array_to_string(t, ', ') AS caption FROM c""",
 )
 def caption_find_replace(spark, d):
@@ -225,7 +236,7 @@ def filter_legacy(spark, d):
     return views.order_tags(spark, d).filter(filterql.selects_simple(F.col("tags"), "ring, old")).select("k")
 
 
-@query("filter_captions", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^\pL\pM\p{Nd}\p{Pc}])the($|[^\pL\pM\p{Nd}\p{Pc}])') AND NOT list_contains(list_transform(string_split(replace(text, ', ', ','), ','), lambda x: lower(x)), 'the')")
+@query("filter_captions", rf"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|{_GAP})the($|{_GAP})') AND NOT list_contains(list_transform(string_split(replace(text, ', ', ','), ','), lambda x: lower(x)), 'the')")
 def filter_captions(spark, d):
     return read(spark, d, "documents").filter(filterql.selects(F.col("text"), "the, !the", extension=".caption")).select("doc_id")
 
@@ -235,7 +246,7 @@ def filter_spans(spark, d):
     return views.order_tags(spark, d).select("k", F.array_join(filterql.matches(F.col("tags"), ("ring", "", "plate")), "|").alias("spans"))
 
 
-@query("subset_query", rf"WITH {ORDER_TAGS} SELECT k AS id FROM ot WHERE {_wd('ring')} UNION SELECT doc_id FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\x00-\x7F]*') AND regexp_matches(text, '(?i)\bring\b')")
+@query("subset_query", rf"WITH {ORDER_TAGS} SELECT k AS id FROM ot WHERE {_wd('ring')} UNION SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|{_GAP})ring($|{_GAP})')")
 def subset_query(spark, d):
     docs = read(spark, d, "documents")
     captions = docs.filter(filterql.selects_simple(F.col("text"), "ring", ".caption")).select(F.col("doc_id").alias("id"))
@@ -263,7 +274,7 @@ def numeric_sort(spark, d):
     return f.select("stem", F.row_number().over(Window.orderBy(files.numeric_key(F.col("stem")), "ordinal")).alias("place"))
 
 
-@query("sidecar_join", f"WITH {FILES} SELECT path, CASE WHEN l.doc_id IS NULL THEN NULL ELSE 'q' || l.quality END AS txt, CASE WHEN ordinal % 5 = 0 THEN NULL ELSE d.text END AS caption FROM fl LEFT JOIN labels l ON l.doc_id = ordinal LEFT JOIN documents d ON d.doc_id = ordinal")
+@query("sidecar_join", f"WITH {FILES} SELECT path, CASE WHEN l.doc_id IS NULL THEN NULL ELSE 'q' || l.quality END AS txt, d.text AS caption FROM fl LEFT JOIN labels l ON l.doc_id = ordinal LEFT JOIN documents d ON d.doc_id = ordinal")
 def sidecar_join(spark, d):
     f = views.files(spark, d)
     named = f.select("ordinal", "dir", "stem")
