@@ -7,6 +7,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagweave.plans.storage import tasks_for
+
 
 def packed(*arrays: np.ndarray) -> bytes:
     """64-bit columns as differences, compressed; small where values are sorted or repeat."""
@@ -33,6 +35,12 @@ def groups(sorted_values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *ends.tolist()], [*ends.tolist(), len(sorted_values)], strict=True))
 
 
+def parts_for(rows: DataFrame, spread: int, part_bytes: int) -> int:
+    """Parts to deal the texts of ``rows`` to: ``spread`` for each shuffle partition, more where a part would get over ``part_bytes``."""
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(spread * tasks_for(rows.sparkSession), -(-size // part_bytes))
+
+
 def identified(docs: DataFrame, *columns) -> DataFrame:
     """(_key, _k, text, columns): _key is the id as a long (null: the least), _k numbers the distinct texts of one id in their order."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key"), F.col("text"), *columns)

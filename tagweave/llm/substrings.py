@@ -8,9 +8,9 @@ word sequence also starts earlier (smaller doc_id, or the same document and an e
    window of every document is sent; of pieces with equal bytes in one slice only the earliest, and
    the windows of the others are later places.
 2. Confirm and compile: windows of a shard whose hashes recur are compared word by word, and each distinct
-   word sequence is compiled into an Aho-Corasick automaton (pyahocorasick, one letter per distinct word);
+   word sequence is compiled into an Aho-Corasick automaton (pyahocorasick, a letter for each distinct run of five words);
    an automaton holds at most ``patterns`` of them.
-3. Stream: all pieces of the shard pass through all its automata.  Their hits are the occurrences; those
+3. Stream: all pieces of the shard pass through all its automata, equal pieces once for all of them.  Their hits are the occurrences; those
    other than a sequence's earliest go back to their documents, which lose these words.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; kept words are joined by one space.  Null texts have no words.
@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.llm.rows import groups, identified, packed, shard_of, unpacked
+from tagweave.llm.rows import groups, identified, packed, parts_for, shard_of, unpacked
 from tagweave.llm.text import Words, mix, rolling, slices
-from tagweave.plans.storage import table, tasks_for
+from tagweave.plans.storage import table
 
 _PART = 40  # bits for the word's place within one row
 _RUN = 3  # words of the runs whose least hash names the shard of a window
@@ -43,9 +43,10 @@ _RUN = 3  # words of the runs whose least hash names the shard of a window
 class SubstringParams:
     width: int = 20
     slice_bytes: int = 1 << 21
-    spread: int = 2  # parts for each shuffle partition
+    spread: int = 2  # parts for each shuffle partition, at least
+    part_bytes: int = 1 << 25  # text of a part, at most about
     bucket_bytes: int = 1 << 22  # text of a shard that is searched at a time
-    patterns: int = 50_000  # word sequences of one automaton; times ``width`` below the number of letters
+    patterns: int = 50_000  # word sequences of one automaton
 
 
 def _recurring(keys: np.ndarray, places: np.ndarray, shards: int):
@@ -131,41 +132,83 @@ def _words(w: Words) -> np.ndarray:
     return codes
 
 
-def located(codes: np.ndarray, first: np.ndarray, hashes: np.ndarray, p: SubstringParams) -> tuple[np.ndarray, np.ndarray]:
+def _run_words(width: int) -> int:
+    """Words of one letter of the automata: the largest divisor of the width up to 5."""
+    return max(n for n in range(1, 6) if width % n == 0)
+
+
+def _runs(codes: np.ndarray, n: int) -> np.ndarray:
+    """Number of the run of ``n`` words at every start, equal for equal runs only."""
+    h = rolling(mix(codes.astype(np.uint64)), n)
+    _, first, out = np.unique(h, return_index=True, return_inverse=True)
+    rep = first[out]
+    if any((codes[k : len(h) + k] != codes[rep + k]).any() for k in range(n)):
+        out = np.unique(np.stack([codes[k : len(h) + k] for k in range(n)], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+    return out
+
+
+def _spelled(letters: np.ndarray, base: int) -> str:
+    """Every letter as three characters, so that no node of an automaton has more than ``base`` children."""
+    digits = np.stack([letters // (base * base), letters // base % base, letters % base], axis=-1)
+    return (digits + 1).astype(np.uint8).tobytes().decode("latin-1")
+
+
+def located(codes: np.ndarray, first: np.ndarray, hashes: np.ndarray, p: SubstringParams, copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the windows that an automaton hits, and the number of the word sequence hit.
 
-    ``codes`` are the words of several pieces, piece i at first[i]:first[i + 1]; ``hashes`` those of all windows,
-    by which the word sequences to search for are chosen: those of windows whose hash recurs."""
+    ``codes`` are the words of several pieces, piece i at first[i]:first[i + 1], which stands for copies[i] pieces;
+    ``hashes`` those of all windows, by which the word sequences to search for are chosen: those of windows whose
+    hash recurs.  A letter of an automaton is a run of words; a piece is read once for each offset of such runs."""
+    none = np.zeros(0, np.int64)
     count = np.diff(first)
-    starts = _expanded(first[:-1], np.maximum(count - p.width + 1, 0))
-    _, lead, back, times = np.unique(hashes[starts], return_index=True, return_inverse=True, return_counts=True)
+    windows = np.maximum(count - p.width + 1, 0)
+    starts = _expanded(first[:-1], windows)
+    if not len(starts):
+        return none, none
+    _, lead, back = np.unique(hashes[starts], return_index=True, return_inverse=True)
+    times = np.bincount(back, None if copies is None else np.repeat(copies, windows))
     again = np.flatnonzero(times[back] > 1)
     wanted = starts[lead[times > 1]]
     span = np.arange(p.width)
-    other = [np.zeros(0, np.int64)]  # windows whose hash is that of other words
+    other = [none]  # windows whose hash is that of other words
     for a in range(0, len(again), 1 << 16):
         n = again[a : a + (1 << 16)]
         mine, rep = starts[n], starts[lead[back[n]]]
+        apart = mine != rep
+        mine, rep = mine[apart], rep[apart]
         other.append(mine[(codes[mine[:, None] + span] != codes[rep[:, None] + span]).any(axis=1)])
     if sum(map(len, other)):
         wanted = np.concatenate([wanted, *other])
         wanted = wanted[np.unique(codes[wanted[:, None] + span], axis=0, return_index=True)[1]]
-    found, number = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    place = np.arange(len(codes)) + np.repeat(np.arange(len(count)), count)  # one separator after each piece
+    if not len(wanted):
+        return none, none
+    size = _run_words(p.width)
+    runs = _runs(codes, size)
+    # the runs of a piece that start at one offset follow each other; a separator comes after them
+    offset = np.tile(np.arange(size), len(count))
+    length = np.maximum((np.repeat(count, size) - offset) // size, 0)
+    head = np.repeat(first[:-1], size) + offset
+    begun = np.cumsum(length) - length
+    at = np.repeat(head - size * begun, length) + size * np.arange(length.sum())
+    place = np.arange(len(at)) + np.repeat(np.arange(len(length)), length)
+    inside = np.arange(0, p.width, size)
+    found, number = [none], [none]
     for a in range(0, len(wanted), p.patterns):
-        rows = codes[wanted[a : a + p.patterns, None] + span]
+        rows = runs[wanted[a : a + p.patterns, None] + inside]
         used = np.unique(rows)
-        letter = np.zeros(int(codes.max()) + 1, np.int64)  # 0: in no sequence
+        letter = np.zeros(len(codes) + 1, np.int64)  # 0: in no sequence
         letter[used] = np.arange(1, len(used) + 1)
-        machine = ahocorasick.Automaton()
-        joined = _letters(letter[rows].reshape(-1))
+        base = max(2, int(np.ceil((len(used) + 1) ** (1 / 3))))
+        machine, wide = ahocorasick.Automaton(), 3 * len(inside)
+        joined = _spelled(letter[rows].reshape(-1), base)
         for n in range(len(rows)):
-            machine.add_word(joined[n * p.width : (n + 1) * p.width], a + n)
+            machine.add_word(joined[n * wide : (n + 1) * wide], a + n)
         machine.make_automaton()
-        text = np.zeros(len(codes) + len(count), np.int64)
-        text[place] = letter[codes]
-        hit = np.fromiter(chain.from_iterable(machine.iter(_letters(text))), np.int64).reshape(-1, 2)
-        found.append(np.searchsorted(place, hit[:, 0] - p.width + 1))
+        text = np.zeros(len(at) + len(length), np.int64)
+        text[place] = letter[runs[at]]
+        hit = np.fromiter(chain.from_iterable(machine.iter(_spelled(text, base))), np.int64).reshape(-1, 2)
+        hit = hit[hit[:, 0] % 3 == 2]  # whole letters only
+        found.append(at[np.searchsorted(place, hit[:, 0] // 3 - len(inside) + 1)])
         number.append(hit[:, 1])
     return np.concatenate(found), np.concatenate(number)
 
@@ -198,55 +241,27 @@ def _searched(shards: int, p: SubstringParams):
         order = np.argsort(bucket, kind="stable")
         for a, b in groups(bucket[order]):
             mine = order[a:b]
-            offs = np.concatenate([[0], np.cumsum(size[mine])])
-            w = Words(buf[_expanded(start[mine], size[mine])], offs)
-            found, number = located(_words(w), w.first, rolling(w.hashes(lower=False), p.width), p)
+            # equal pieces of several slices are read once; what is found there is found in all of them
+            seen: dict[bytes, int] = {}
+            same = np.array([seen.setdefault(buf[s:e].tobytes(), len(seen)) for s, e in zip(start[mine].tolist(), (start + size)[mine].tolist(), strict=True)])
+            one = np.unique(same, return_index=True)[1]
+            copies = np.bincount(same)
+            w = Words(np.frombuffer(b"".join(seen), np.uint8), np.concatenate([[0], np.cumsum(size[mine][one])]))
+            found, number = located(_words(w), w.first, rolling(w.hashes(lower=False), p.width), p, copies)
             if not len(found):
                 continue
             piece = np.searchsorted(w.first, found, "right") - 1
-            k, at = keys[mine][piece], places[mine][piece] + found - w.first[piece]
-            later = _later(k, at, number)
+            of = np.argsort(same, kind="stable")
+            times = copies[piece]
+            owner = mine[of[_expanded((np.cumsum(copies) - copies)[piece], times)]]
+            k, at = keys[owner], places[owner] + np.repeat(found - w.first[piece], times)
+            later = _later(k, at, np.repeat(number, times))
             if len(later):
                 yield _batch(list(_recurring(k[later], at[later], shards)))
 
     return run
 
 
-def _letters(codes: np.ndarray) -> str:
-    """Word numbers as characters: private order, surrogates left out."""
-    c = codes.astype("<u4") + np.uint32(1)
-    c[c >= 0xD800] += np.uint32(0x800)
-    return c.tobytes().decode("utf-32-le")
-
-
-def occurrences(words: list[np.ndarray], recurring: list[np.ndarray], width: int) -> list[np.ndarray]:
-    """For each document (word numbers) the mask of windows that lie in an occurrence of any passage.
-
-    Passages are the runs of recurring window starts of these documents."""
-    machine, texts = ahocorasick.Automaton(), [None] * len(words)
-    for i, starts in enumerate(recurring):
-        if len(starts):
-            texts[i] = _letters(words[i])
-            ends = np.flatnonzero(np.diff(starts) > 1) + 1
-            for run in np.split(starts, ends):
-                passage = texts[i][run[0] : run[-1] + width]
-                machine.add_word(passage, len(passage))
-    found = [np.zeros(0, bool)] * len(words)
-    if not len(machine):
-        return found
-    machine.make_automaton()
-    for i, text in enumerate(texts):
-        n = len(words[i]) - width + 1
-        if n <= 0:
-            continue
-        steps = np.zeros(n + 1, np.int64)
-        for end, length in machine.iter(text if text is not None else _letters(words[i])):
-            steps[end - length + 1] += 1
-            steps[end - width + 2] -= 1
-        found[i] = np.cumsum(steps)[:n] > 0
-    return found
-
-
 def _removed(p: SubstringParams):
     def run(batches):
         known: list[np.ndarray] = []
@@ -291,7 +306,7 @@ def _removed(p: SubstringParams):
 def without_repeats(docs: DataFrame, p: SubstringParams = SubstringParams()) -> DataFrame:
     """``docs`` with the kept words as text (and new columns n_words, n_removed; clashing ones are replaced)."""
     rows = identified(docs, F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("_row"))
-    parts = shards = p.spread * tasks_for(docs.sparkSession)
+    parts = shards = parts_for(docs, p.spread, p.part_bytes)
     schema = "kind int, part int, text binary, blob binary"
     sent = rows.select("_key", "_k", "text").mapInArrow(_pieces(parts, shards, p), schema)
     later = table(sent.repartitionById(parts, F.col("part")).mapInArrow(_searched(shards, p), schema), "repeats")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from tagweave.llm import substrings
 from tests.llm.conftest import make_docs
@@ -53,18 +54,25 @@ def test_overlapping_passages(spark, words):
     assert found(make_docs(spark, rows)) == brute(rows)
 
 
-def test_automaton_locates_every_occurrence():
-    rng = np.random.default_rng(1)
-    words = [rng.integers(0, 2, 60) for _ in range(5)]
-    starts = [np.arange(3, 9), np.zeros(0, np.int64), np.array([0, 20, 21]), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-    passages = [tuple(words[i][r[0] : r[-1] + 4]) for i, s in enumerate(starts) if len(s) for r in np.split(s, np.flatnonzero(np.diff(s) > 1) + 1)]
-    for w, got in zip(words, substrings.occurrences(words, starts, 4), strict=True):
-        want = np.zeros(len(w) - 3, bool)
-        for q in passages:
-            for a in range(len(w) - len(q) + 1):
-                if tuple(w[a : a + len(q)]) == q:
-                    want[a : a + len(q) - 3] = True
-        assert (got == want).all()
+@pytest.mark.parametrize("width", [4, 7, 20])
+def test_located_finds_every_occurrence(width):
+    """Against a scan of all windows: those that recur, counting copies, and no others."""
+    rng = np.random.default_rng(width)
+    pieces = [rng.integers(0, 2 if width < 20 else 1, n) for n in (60, 3, 0, 45, width, 31)]
+    codes, first = np.concatenate(pieces), np.cumsum([0] + [len(x) for x in pieces])
+    copies = np.array([1, 1, 1, 2, 1, 1])
+    p = substrings.SubstringParams(width=width, patterns=5)
+    hashes = np.array([hash(tuple(codes[i : i + width].tolist())) & 0xFFFF for i in range(len(codes))], np.uint64)
+    found, number = substrings.located(codes, first, hashes, p, copies)
+    places = {}
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        for at in range(a, b - width + 1):
+            places.setdefault(tuple(codes[at : at + width].tolist()), []).append((at, copies[i]))
+    want = sorted(sorted(at for at, _ in v) for v in places.values() if sum(n for _, n in v) > 1)
+    got = {}
+    for at, n in zip(found.tolist(), number.tolist(), strict=True):
+        got.setdefault(n, []).append(at)
+    assert sorted(map(sorted, got.values())) == want
 
 
 def test_automata_decide(spark, words, monkeypatch):
