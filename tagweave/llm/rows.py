@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 from tagweave.plans.storage import tasks_for
 
 
+_KINDS = (np.int8, np.int16, np.int32, np.int64)
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     """64-bit columns as differences, compressed; small where values are sorted or repeat."""
     data = b"".join(np.diff(a, prepend=a.dtype.type(0)).tobytes() for a in arrays)
@@ -21,6 +26,37 @@ def unpacked(blob: bytes, columns: int) -> np.ndarray:
     return np.cumsum(flat, axis=1)
 
 
+def bundled(*arrays: np.ndarray) -> bytes:
+    """Integer arrays of any lengths, compressed: sorted ones as differences, each in the narrowest type that holds it."""
+    head, data = [struct.pack("<B", len(arrays))], []
+    for a in arrays:
+        a = a.astype(np.int64)
+        rising = len(a) > 1 and bool((a[1:] >= a[:-1]).all())
+        a = np.diff(a, prepend=np.int64(0)) if rising else a
+        kind = next((k for k in range(4) if not len(a) or (a.min() >= np.iinfo(_KINDS[k]).min and a.max() <= np.iinfo(_KINDS[k]).max)), 3)
+        head.append(struct.pack("<QBB", len(a), kind, rising))
+        planes = a.astype(_KINDS[kind]).view(np.uint8).reshape(len(a), -1)
+        data.append(planes.T.tobytes())  # bytes of one weight side by side
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*head, *data]))
+
+
+def unbundled(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, at, out = raw[0], 1 + 10 * raw[0], []
+    for k in range(n):
+        size, kind, rising = struct.unpack_from("<QBB", raw, 1 + 10 * k)
+        width = _KINDS[kind]().itemsize
+        a = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T.copy().view(_KINDS[kind]).reshape(-1).astype(np.int64)
+        out.append(np.cumsum(a) if rising else a)
+        at += size * width
+    return out
+
+
+def expanded(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), then those of first[1], and so on."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
 def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
     """Shard number of each 64-bit key."""
     h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.llm.rows import groups, identified, packed, parts_for, shard_of, unpacked
+from tagweave.llm.rows import expanded, groups, identified, packed, parts_for, shard_of, unpacked
 from tagweave.llm.text import Words, mix, rolling, slices
 from tagweave.plans.storage import table
 
@@ -72,11 +72,6 @@ def _least(h: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (n - size)], h[n - size :])
 
 
-def _expanded(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1, ... (count[0] of them), then those of first[1], and so on."""
-    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-
-
 def _pieces(parts: int, shards: int, p: SubstringParams):
     def run(batches):
         for batch, buf, offs in slices(batches, limit=p.slice_bytes):
@@ -103,7 +98,7 @@ def _pieces(parts: int, shards: int, p: SubstringParams):
             lead = np.array([seen.setdefault(t, n) for n, t in enumerate(texts)])
             # equal rows share keys and places: such a twin is no later place
             later = np.flatnonzero((keys != keys[lead]) | (places != places[lead]))
-            rows = list(_recurring(np.repeat(keys[later], windows[later]), _expanded(places[later], windows[later]), shards))
+            rows = list(_recurring(np.repeat(keys[later], windows[later]), expanded(places[later], windows[later]), shards))
             sent = np.flatnonzero(lead == np.arange(len(lead)))
             part = (name[at[sent]] % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -125,7 +120,7 @@ def _words(w: Words) -> np.ndarray:
     size, rep = w.end - w.start, first[codes]
     same = bool((size == size[rep]).all())
     if same:
-        same = bool((w.buf[_expanded(w.start, size)] == w.buf[_expanded(w.start[rep], size)]).all())
+        same = bool((w.buf[expanded(w.start, size)] == w.buf[expanded(w.start[rep], size)]).all())
     if not same:
         raw, numbers = w.buf.tobytes(), {}
         codes = np.array([numbers.setdefault(raw[s:e], len(numbers)) for s, e in zip(w.start.tolist(), w.end.tolist(), strict=True)])
@@ -162,7 +157,7 @@ def located(codes: np.ndarray, first: np.ndarray, hashes: np.ndarray, p: Substri
     none = np.zeros(0, np.int64)
     count = np.diff(first)
     windows = np.maximum(count - p.width + 1, 0)
-    starts = _expanded(first[:-1], windows)
+    starts = expanded(first[:-1], windows)
     if not len(starts):
         return none, none
     _, lead, back = np.unique(hashes[starts], return_index=True, return_inverse=True)
@@ -253,7 +248,7 @@ def _searched(shards: int, p: SubstringParams):
             piece = np.searchsorted(w.first, found, "right") - 1
             of = np.argsort(same, kind="stable")
             times = copies[piece]
-            owner = mine[of[_expanded((np.cumsum(copies) - copies)[piece], times)]]
+            owner = mine[of[expanded((np.cumsum(copies) - copies)[piece], times)]]
             k, at = keys[owner], places[owner] + np.repeat(found - w.first[piece], times)
             later = _later(k, at, np.repeat(number, times))
             if len(later):
