@@ -9,7 +9,10 @@ next epoch's order that fits, where an epoch orders documents by md5(seed:epoch:
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+``.  Null domain, lang or source count as the label ''.
 Documents without words take part with 0 tokens.  Rows of one leaf that share a doc_id are chosen
-together.  Budgets are whole tokens, rounded down at each node.  Weights that are not named are ``default_weight``.
+together; equal rows are taken alike.  Budgets are whole tokens, rounded down at each node.  Weights that are not named are
+``default_weight``.  A node of weight 0 gets nothing, and what lies below it adds to no ancestor's capacity, so its
+share goes to others; without any positive weight nothing is chosen.  Very long texts count with all their tokens; an
+empty table gives an empty result; further columns of ``docs``, whatever their names, are neither read nor lost.
 
 Only built-in functions are used.  The table of leaves is small beside the rows; the hot leaf is
 never sorted whole: its prefix is found over 4096 slices of the order first, then inside one slice.
@@ -70,7 +73,7 @@ def _shared_out(nodes: DataFrame, parent: list[str], level: str, p: MixParams) -
     n = nodes.withColumn("w", _weight(level, p))
     family = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
     # decimals keep the comparison of cap / w exact at any size
-    before = family.orderBy((F.col("cap").cast("decimal(38,12)") / F.col("w")), level).rowsBetween(Window.unboundedPreceding, -1)
+    before = family.orderBy(F.when(F.col("w") > 0, F.col("cap").cast("decimal(38,12)") / F.col("w")).otherwise(0), level).rowsBetween(Window.unboundedPreceding, -1)
     n = n.withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("w_before", F.coalesce(F.sum("w").over(before), F.lit(0))).withColumn("w_all", F.sum("w").over(family))
     d = lambda c: F.col(c).cast("decimal(19,0)")
     n = n.withColumn("full", d("cap") * (d("w_all") - d("w_before")) <= d("w") * (d("budget") - d("cap_before")))
@@ -81,7 +84,9 @@ def _shared_out(nodes: DataFrame, parent: list[str], level: str, p: MixParams) -
 
 def budgets(rows: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """Leaf table: domain, lang, source, leaf_tokens, budget."""
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("leaf_tokens")).withColumn("cap", F.col("leaf_tokens") * p.epochs)
+    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("leaf_tokens"))
+    open_path = F.least(*[_weight(level, p) for level in LEVELS]) > 0
+    leaves = table(leaves.withColumn("cap", F.when(open_path, F.col("leaf_tokens") * p.epochs).otherwise(0)), "mix-capacities")
     nodes = leaves.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("leaf_tokens").alias("t"))
     nodes = nodes.withColumn("budget", F.expr(f"sum(t) OVER () * {p.share_num} div {p.share_den}"))
     shares = _shared_out(nodes, [], "domain", p).select("domain", F.col("share").alias("budget"))
@@ -98,7 +103,7 @@ def order_key(epoch: Column, p: MixParams) -> Column:
 
 def cutoffs(rows: DataFrame, leaves: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """Leaf table with ``whole`` (complete epochs) and the key of the last document of the begun one."""
-    leaves = leaves.withColumn("whole", F.when(F.col("leaf_tokens") > 0, F.expr("budget div leaf_tokens")).otherwise(0)).withColumn("rest", F.col("budget") - F.col("whole") * F.col("leaf_tokens"))
+    leaves = table(leaves, "mix-budgets").withColumn("whole", F.when(F.col("leaf_tokens") > 0, F.expr("budget div leaf_tokens")).otherwise(0)).withColumn("rest", F.col("budget") - F.col("whole") * F.col("leaf_tokens"))
     keyed = rows.join(leaves, list(LEVELS)).withColumn("key", order_key(F.col("whole"), p)).withColumn("slice", F.substring("key", 1, 3))
     by_slice = keyed.groupBy(*LEVELS, "slice", "rest").agg(F.sum("n_tokens").alias("t"))
     running = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -149,7 +154,7 @@ def oracle(p: MixParams = MixParams()) -> str:
         return f"""
 {name}_a AS (SELECT *, {weight(col)} AS w FROM {source}),
 {name}_b AS (SELECT *, coalesce(sum(cap) OVER x, 0)::HUGEINT AS cb, coalesce(sum(w) OVER x, 0)::HUGEINT AS wb, sum(w) OVER ({over})::HUGEINT AS wall
-  FROM {name}_a WINDOW x AS ({over} ORDER BY cap / w, {col} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  FROM {name}_a WINDOW x AS ({over} ORDER BY CASE WHEN w > 0 THEN cap / w ELSE 0 END, {col} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 {name}_c AS (SELECT *, cap * (wall - wb) <= w * (budget - cb) AS full_ FROM {name}_b),
 {name} AS (SELECT {keep}, CASE WHEN full_ THEN cap ELSE w * (budget - coalesce(sum(CASE WHEN full_ THEN cap END) OVER ({over}), 0)::HUGEINT) // greatest(sum(CASE WHEN full_ THEN 0 ELSE w END) OVER ({over}), 1)::HUGEINT END::BIGINT AS budget FROM {name}_c)"""
 
@@ -159,7 +164,7 @@ WITH rows0 AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '')
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens,
     CASE WHEN source LIKE 'src%' THEN try_cast(substr(source, 4) AS INTEGER) END AS n FROM documents),
 rows1 AS (SELECT doc_id, CASE WHEN n BETWEEN 10 AND 14 THEN 'books' WHEN n >= 15 THEN 'code' ELSE 'web' END AS domain, lang, source, n_tokens FROM rows0),
-leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS leaf_tokens, (sum(n_tokens) * {e})::BIGINT AS cap FROM rows1 GROUP BY ALL),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS leaf_tokens, (CASE WHEN least({', '.join(map(weight, LEVELS))}) > 0 THEN sum(n_tokens) * {e} ELSE 0 END)::BIGINT AS cap FROM rows1 GROUP BY domain, lang, source),
 n1 AS (SELECT domain, sum(cap)::BIGINT AS cap, (sum(sum(leaf_tokens)) OVER () * {p.share_num} // {p.share_den})::BIGINT AS budget FROM leaves GROUP BY domain),
 {level("s1", "n1", [], "domain")},
 n2 AS (SELECT l.domain, l.lang, sum(l.cap)::BIGINT AS cap, s.budget FROM leaves l JOIN s1 s USING (domain) GROUP BY l.domain, l.lang, s.budget),

@@ -1,20 +1,24 @@
 from __future__ import annotations
 
 import duckdb
+import pytest
 
 from tagweave.llm import mixing
 
 
-def test_against_sql(spark, docs):
-    found = mixing.mix(docs).toPandas()
-    documents = docs.select("doc_id", "text", "lang", "source").filter("doc_id IS NOT NULL AND doc_id NOT IN (14, 15)").toPandas()
+NO_WEIGHT = {"domain": {"web": 5, "books": 0, "code": 2}, "lang": {"en": 6, "de": 0, "fr": 1}, "source": {"src0": 4, "src1": 0}}
+
+
+@pytest.mark.parametrize("p", [mixing.MixParams(), mixing.MixParams(weights=NO_WEIGHT, epochs=3), mixing.MixParams(weights={"domain": {"web": 0, "books": 0, "code": 0}})])
+def test_against_sql(spark, docs, p):
+    """All rows: null ids, ids that rows share, weights of 0."""
     con = duckdb.connect()
-    con.register("documents", documents)
-    want = con.sql(mixing.oracle()).df()
-    subset = docs.filter("doc_id IS NOT NULL AND doc_id NOT IN (14, 15)")
-    found = mixing.mix(subset).toPandas()
+    con.register("documents", docs.select("doc_id", "text", "lang", "source").toPandas().astype({"doc_id": "Int64"}))
+    full = mixing.MixParams(p.seed, p.epochs, weights={level: p.weights.get(level, {"none": 1}) for level in mixing.LEVELS})
+    want = con.sql(mixing.oracle(full))
+    found = mixing.mix(docs, p)
     cols = sorted(want.columns)
-    assert found[cols].sort_values("doc_id").values.tolist() == want[cols].sort_values("doc_id").values.tolist()
+    assert sorted((str(tuple(r[c] for c in cols)) for r in found.collect())) == sorted(str(r) for r in want.select(", ".join(cols)).fetchall())
 
 
 def test_budgets_respect_capacity_and_whole(spark, docs):
