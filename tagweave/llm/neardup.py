@@ -8,18 +8,23 @@ decide every pair of a bucket, without ever listing all pairs of a group:
 
 1. each node against the bucket's least node with which it shares most buckets,
 2. each node against a pivot that every bucket draws anew, unless both are in one component by then,
-3. nodes outside a bucket's largest component against its members in other components: as pairs
-   in buckets of at most ``pair_bucket`` nodes; in larger ones whole shingle sets meet in cells of at most about
-   ``cell`` outsiders and ``cell`` members, are counted against each other by matrix products, and only links leave the cell.
+3. nodes outside a bucket's largest component against its members in other components, as pairs, in buckets of at
+   most ``pair_bucket`` nodes.  Larger ones are banded anew ``levels`` times, by ``subs`` bands of other signature values.
+   What is then still large is settled exactly: whole shingle sets meet in cells of about ``cell`` sets
+   and ``cell_shingles`` shingles a side, are counted against each other by matrix products, and only links leave the cell.
 
 A pair is put aside when its signatures agree in too few places for the asked similarity (six
 standard deviations below it), else it is confirmed on the full shingle sets of the two whole
-texts.  A pair that is not compared in any round either shares no bucket (with 32 bands of
-4 values and similarity 0.8: probability 5e-8) or is already joined by confirmed links.
+texts.  A pair that is not compared in any round is already joined by confirmed links, or shares no bucket (with 32 bands of
+4 values and similarity 0.8: probability 5e-8), or shares none that is small and is missed by all 8 new bands of each large one (1.5 %
+for each of the 13 buckets that such a pair shares on average; over all cases 1e-7).
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  A document of fewer words than the shingle
 width has its whole sequence as one shingle; null, empty and blank texts have an empty set and are linked
-with nothing.  Rows that share a doc_id are one document: they are linked to each other.  Null ids stay alone.
+with nothing.  Rows that share a doc_id are one document: they are linked to each other.  Null ids stay alone.  Very long
+texts are taken whole; a task holds the sets of one slice of texts, one centre or one cell.  Equal sets are told by 128-bit
+digests; from then on a node is named by its least doc_id.  Of columns only doc_id and text are read, so
+clashing names do no harm; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,7 +52,11 @@ class NearDupParams:
     seed: int = 99
     per_salt: int = 256  # pairs of one centre in one task
     pair_bucket: int = 24
+    levels: int = 2  # times that large buckets are banded anew
+    subs: int = 8
     cell: int = 1024
+    cell_shingles: int = 1 << 20
+    broadcast_rows: int = 500_000  # narrow rows that may be broadcast to pick texts; more are joined by a shuffle
     columns: int = 4096  # shingles counted at once in a cell
 
     @property
@@ -76,9 +85,9 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int) -> list[np.ndarr
     return out
 
 
-def node_of(shingles: np.ndarray) -> int:
-    """The node of a set: a signed 64-bit digest, equal for equal sets."""
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+def node_of(shingles: np.ndarray) -> bytes:
+    """128-bit digest of a set."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def signatures(sets: list[np.ndarray], p: NearDupParams) -> np.ndarray:
@@ -100,7 +109,7 @@ def signatures(sets: list[np.ndarray], p: NearDupParams) -> np.ndarray:
 
 
 def signed(docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """(doc_id, n, node, bands, sig): set size, node, bucket keys and one byte of each signature value."""
+    """(doc_id, n, digest, bands, sig): set size, digest, bucket keys and one byte of each signature value."""
 
     def run(batches):
         for batch, buf, offs in slices(batches):
@@ -118,11 +127,11 @@ def signed(docs: DataFrame, p: NearDupParams) -> DataFrame:
                 for j, i in enumerate(full):
                     bands[i], sigs[i] = keys[j], small[j].tobytes()
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "n", "node", "bands", "sig"])
+                batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "n", "digest", "bands", "sig"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return table(rows.mapInArrow(run, "doc_id long, n long, node long, bands array<long>, sig binary"), "minmax-signed")
+    return table(rows.mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>, sig binary"), "minmax-signed")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, p: NearDupParams) -> DataFrame:
@@ -141,6 +150,18 @@ def _likely(pairs: DataFrame, nodes: DataFrame, p: NearDupParams) -> DataFrame:
     return sides.filter(possible).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, p: NearDupParams) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True)) if len(y) else 0
+    return both > 0 and p.similar_den * both >= p.similar_num * (len(x) + len(y) - both)
+
+
+def _with_texts(wanted: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
+    """``wanted`` rows with the texts of their column ``node``.  Few enough rows go to the texts; else both are shuffled."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    wanted = table(wanted, "minmax-wanted")
+    return texts.join(F.broadcast(wanted) if wanted.count() <= p.broadcast_rows else wanted, "node")
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
     """Those pairs (a, b), as (u, v), that reach the similarity on the full sets of the whole texts.
 
@@ -150,26 +171,22 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDupPa
     dealt = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.expr(f"m div {p.per_salt} + 1")).cast("int"))
     dealt = table(dealt.select("a", "b", "salt"), "minmax-dealt")
     wanted = dealt.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("node")).distinct().unionByName(dealt.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("node")))
-    wanted = wanted.join(nodes.select("node", "rep"), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    loaded = wanted.join(texts, "rep").select("a", "salt", "role", "node", "text")
+    loaded = _with_texts(wanted, docs, p).select("a", "salt", "role", "node", "text")
     ordered = loaded.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def run(batches):
-        centre, own = None, None
+        centre, own = None, []  # a document of several texts has several sets
         for batch, buf, offs in slices(batches):
             sets = shingle_sets(buf, offs, p.width)
             u, v = [], []
             for a, salt, role, node, s in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "role", "node")), sets, strict=True):
-                if not len(s) or node_of(s) != node:  # another row of the same doc_id
-                    continue
                 if role == 0:
-                    centre, own = (a, salt), s
-                elif centre == (a, salt):
-                    both = len(np.intersect1d(own, s, assume_unique=True))
-                    if p.similar_den * both >= p.similar_num * (len(own) + len(s) - both):
-                        u.append(a)
-                        v.append(node)
+                    if centre != (a, salt):
+                        centre, own = (a, salt), []
+                    own += [s] if len(s) else []
+                elif centre == (a, salt) and any(_similar(x, s, p) for x in own):
+                    u.append(a)
+                    v.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return table(ordered.mapInArrow(run, "u long, v long"), "minmax-links")
@@ -195,19 +212,23 @@ def shared_counts(rows: list[np.ndarray], columns: list[np.ndarray], width: int)
 
 
 def _within_cells(placed: DataFrame, sizes: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """Confirmed links (u, v) between outsiders and members of other components, cell by cell."""
-    here = placed.join(sizes, "key").withColumn("obs", F.expr(f"cast((total - most) div {p.cell} + 1 AS int)")).withColumn("mbs", F.expr(f"cast(total div {p.cell} + 1 AS int)"))
+    """Confirmed links (u, v) between outsiders and members of other components, cell by cell.
+
+    A cell gets about ``cell`` sets and ``cell_shingles`` shingles a side, so its memory is bounded by that or by the longest set."""
+    here = placed.join(sizes, "key").join(nodes.groupBy("node").agg(F.sum("n").alias("n")), "node").withColumn("out", F.col("own") != F.col("largest"))
+    weight = here.groupBy("key").agg(F.sum("n").alias("all_n"), F.sum(F.when(F.col("out"), F.col("n")).otherwise(0)).alias("out_n"), F.count("*").alias("all_c"), F.count_if("out").alias("out_c"))
+    blocks = lambda side: F.expr(f"cast(greatest({side}_n div {p.cell_shingles}, {side}_c div {p.cell}) + 1 AS int)")
+    weight = weight.select("key", blocks("out").alias("obs"), blocks("all").alias("mbs"))
+    here = here.join(weight, "key")
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    here = here.withColumn("out", F.col("own") != F.col("largest")).withColumn("my_ob", mine("obs")).withColumn("my_mb", mine("mbs"))
+    here = here.withColumn("my_ob", mine("obs")).withColumn("my_mb", mine("mbs"))
     # an outsider comes once to each cell of its block; it is a member too where the cell is that of its member block
     outside = here.filter("out").select("key", F.col("my_ob").alias("ob"), every("mbs").alias("mb"), "my_mb", "node", "own")
     outside = outside.select("key", "ob", "mb", F.when(F.col("mb") == F.col("my_mb"), 2).otherwise(0).alias("role"), "node", "own")
     inside = here.select("key", "out", "my_ob", every("obs").alias("ob"), F.col("my_mb").alias("mb"), F.lit(1).alias("role"), "node", "own")
     inside = inside.filter("NOT out OR ob != my_ob").select("key", "ob", "mb", "role", "node", "own")
-    rows = outside.unionByName(inside).join(nodes.select("node", "rep"), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    loaded = rows.join(texts, "rep").select("key", "ob", "mb", "role", "node", "own", "text")
+    loaded = _with_texts(outside.unionByName(inside), docs, p).select("key", "ob", "mb", "role", "node", "own", "text")
     ordered = loaded.repartition("key", "ob", "mb").sortWithinPartitions("key", "ob", "mb", "role")
 
     def links(cell):
@@ -230,7 +251,7 @@ def _within_cells(placed: DataFrame, sizes: DataFrame, nodes: DataFrame, docs: D
                     x, y = links(cell)
                     u, v = u + x, v + y
                     now, cell = (key, ob, mb), []
-                if len(s) and node_of(s) == node:
+                if len(s):
                     cell.append((role, node, own, s))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
         u, v = links(cell)
@@ -244,20 +265,40 @@ def _with_component(rows: DataFrame, comps: DataFrame, node: str, into: str) ->
     return rows.join(c, F.col(node) == F.col("_u"), "left").withColumn(into, F.coalesce("_v", node)).drop("_u", "_v")
 
 
+def _unsettled(placed: DataFrame) -> DataFrame:
+    """Buckets that hold several components: key, total, largest (component)."""
+    sizes = placed.groupBy("key", "own").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "own")).alias("x"), F.sum("m").alias("total"), F.count("*").alias("c"))
+    return table(sizes.filter("c > 1").select("key", "total", F.col("x.own").alias("largest")), "minmax-unsettled")
+
+
+def _pairs_of(placed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of outsiders and members of other components."""
+    outside = placed.join(sizes, "key").filter("own != largest").select("key", F.col("node").alias("x"), F.col("own").alias("x_own"))
+    return outside.join(placed, "key").filter("own != x_own").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
+def _banded_anew(placed: DataFrame, sizes: DataFrame, nodes: DataFrame, level: int, p: NearDupParams) -> DataFrame:
+    """The members of these buckets in buckets of new bands: key, node, own."""
+    drawn = np.random.Generator(np.random.PCG64([p.seed, level])).permutation(p.bands * p.rows)[: p.subs * p.rows].reshape(p.subs, -1)
+    keys = [F.xxhash64("key", F.lit(level), F.lit(j), *[F.substring("sig", int(at) + 1, 1) for at in drawn[j]]) for j in range(p.subs)]
+    here = placed.join(sizes.select("key"), "key").join(nodes.select("node", "sig"), "node")
+    return table(here.select("node", "own", F.explode(F.array(*keys)).alias("key")).distinct(), "minmax-anew")
+
+
 def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (its least doc_id), kept."""
     rows = signed(docs, p)
     full = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = full.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    nodes = full.join(reps, "node").filter("doc_id = rep").dropDuplicates(["node"]).select("node", "rep", "n", "bands", "sig")
+    reps = table(full.groupBy("digest").agg(F.min("doc_id").alias("node")), "minmax-digests")
+    nodes = full.join(reps, "digest").filter("doc_id = node").dropDuplicates(["digest"]).select("node", "n", "bands", "sig")
     nodes = table(nodes, "minmax-nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), F.col("node"))).alias("drawn")).filter("lo != hi")
     members = table(keyed.join(shared, "key").select("key", "node", F.col("lo").alias("least"), F.col("drawn.node").alias("drawn")), "minmax-members")
 
     # rows of one doc_id are linked whatever they hold
-    ids = full.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi")
-    links = full.join(ids, "doc_id").select(F.col("lo").alias("u"), F.col("node").alias("v")).filter("u != v").distinct()
+    twice = full.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo != hi").select("doc_id")
+    links = full.join(twice, "doc_id").join(reps, "digest").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).filter("u != v").distinct()
 
     best = members.filter("node != least").groupBy("node", "least").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "least")).alias("x"))
     links = links.unionByName(_confirmed(best.select(F.col("x.least").alias("a"), F.col("node").alias("b")), nodes, docs, p))
@@ -270,19 +311,24 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     comps = components(links)
 
     placed = table(_with_component(members.select("key", "node"), comps, "node", "own"), "minmax-placed")
-    sizes = placed.groupBy("key", "own").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "own")).alias("x"), F.sum("m").alias("total"), F.count("*").alias("c")).filter("c > 1")
-    sizes = table(sizes.select("key", "total", F.col("x.m").alias("most"), F.col("x.own").alias("largest")), "minmax-unsettled")
-    few, many = sizes.filter(F.col("total") <= p.pair_bucket), sizes.filter(F.col("total") > p.pair_bucket)
-    outside = placed.join(few, "key").filter("own != largest").select("key", F.col("node").alias("x"), F.col("own").alias("x_own"))
-    rest = outside.join(placed, "key").filter("own != x_own").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    links = comps.unionByName(_confirmed(rest, nodes, docs, p)).unionByName(_within_cells(placed, many, nodes, docs, p))
+    rest = None
+    for level in range(p.levels + 1):
+        sizes = _unsettled(placed)
+        pairs = _pairs_of(placed, sizes.filter(F.col("total") <= p.pair_bucket))
+        rest = pairs if rest is None else rest.unionByName(pairs)
+        many = sizes.filter(F.col("total") > p.pair_bucket)
+        if level == p.levels or many.isEmpty():
+            break
+        placed = _banded_anew(placed, many, nodes, level, p)
+    links = comps.unionByName(_confirmed(rest.distinct(), nodes, docs, p))
+    if not many.isEmpty():
+        links = links.unionByName(_within_cells(placed, many, nodes, docs, p))
     comps = components(links)
 
-    homes = _with_component(nodes.select("node", "rep"), comps, "node", "home")
-    names = homes.groupBy("home").agg(F.min("rep").alias("component"))
-    named = homes.join(names, "home").select(F.col("node").alias("_node"), "component")
-    out = rows.select("doc_id", "n", "node").join(named, F.col("node") == F.col("_node"), "left")
-    component = F.coalesce("component", "doc_id")
+    homes = _with_component(reps.select("digest", "node"), comps, "node", "component")
+    named = homes.select(F.col("digest").alias("_digest"), "component")
+    out = rows.select("doc_id", "n", "digest").join(named, F.col("digest") == F.col("_digest"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 

@@ -68,6 +68,31 @@ def test_chains_and_groups(spark, words):
     assert {r.doc_id: r.component_id for r in out} == brute(rows, 2)
 
 
+@pytest.mark.parametrize("p", [neardup.NearDupParams(width=2, cell=100), neardup.NearDupParams(width=2, levels=0, cell=100, cell_shingles=3000), neardup.NearDupParams(width=2, broadcast_rows=0)])
+def test_large_buckets_of_unrelated_texts(spark, words, p):
+    """Texts that share a frequent passage meet in large buckets; few of them are near copies."""
+    rng = random.Random(11)
+    common = [rng.choice(words) for _ in range(24)]
+    rows = []
+    for i in range(500):
+        own = [rng.choice(words) for _ in range(10)]
+        rows.append((i, " ".join(common + own), "en", "src0"))
+        if i % 25 == 0:
+            rows.append((1000 + i, " ".join([*common, *own[:9], "other"]), "en", "src0"))
+    want = brute(rows, 2)
+    assert sum(i != c for i, c in want.items()) >= 20
+    assert {r.doc_id: r.component_id for r in neardup.classes(make_docs(spark, rows), p).collect()} == want
+
+
+def test_very_long_texts(spark, words):
+    rng = random.Random(12)
+    long = [rng.choice(words) + str(rng.randrange(1000)) for _ in range(1_000_000)]
+    near = [*long[:500_000], "x", *long[500_001:]]
+    far = [*long[:600_000], *(w + "y" for w in long[600_000:])]
+    docs = make_docs(spark, [(i, " ".join(w), "en", "src0") for i, w in enumerate((long, near, far))])
+    assert {r.doc_id: (r.component_id, r.n_shingles > 900_000) for r in neardup.classes(docs).collect()} == {0: (0, True), 1: (0, True), 2: (2, True)}
+
+
 def test_deduplicated(docs, rows, no_docs):
     out = neardup.deduplicated(docs)
     assert out.columns == docs.columns
