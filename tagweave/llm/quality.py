@@ -8,9 +8,13 @@ n / (n + ``half_bytes``), so that a few bytes leave the share of good labels sta
 null texts score that share.
 
 Learning uses a bounded sample: at most ``rows_per_class`` labelled rows of each class, those of
-the smallest md5 of their id, so the sample is the same wherever it is drawn.  Everything
+the smallest md5 of their id, as long as their whole texts together hold at most ``class_bytes`` (the first is taken in any
+case), so the sample is the same wherever it is drawn.  The curve is fitted on two halves of it, each compressed with
+the dictionaries of the other half, so that no text is weighed by its own words.  Everything
 else covers all rows.  Without rows of both classes the score is the share of good rows (0.5 when
-there are none).  Repeated label rows count as often as they occur; null labels are passed over.
+there are none).  Repeated label rows count as often as they occur; null labels are passed over.  Very long texts are
+scored whole, block by block; rows that share a doc_id are scored each for itself, equal texts alike; an empty table
+gives an empty result; columns that are neither doc_id nor text are kept by the filter and not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import types as T
 @dataclass(frozen=True)
 class QualityParams:
     rows_per_class: int = 2000
+    class_bytes: int = 16 << 20
     dictionary_bytes: int = 96 << 10
     block_bytes: int = 2048
     level: int = 3
@@ -110,7 +115,18 @@ def sample(docs: DataFrame, labels: DataFrame, p: QualityParams, train: Column)
         picked = part if picked is None else picked.unionAll(part)
     texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
     # at most 2 * rows_per_class narrow rows are broadcast
-    return texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("_doc", "_quality", "_text")
+    joined = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("_doc", "_quality", "_text")
+    size = F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")
+    sizes = joined.groupBy("_doc", "_quality").agg(F.sum(size).alias("n")).select("_doc", "_quality", "n", F.md5(F.col("_doc").cast("string")).alias("key")).collect()
+    keep, held = [], {0: 0, 1: 0}
+    for doc, q, n, _ in sorted(sizes, key=lambda r: (r[3], r[0], r[1])):
+        if not held[q] or held[q] + n <= p.class_bytes:
+            held[q] += max(n, 1)
+            keep.append((doc, q))
+    if len(keep) == len(sizes):
+        return joined
+    kept = docs.sparkSession.createDataFrame(keep, "_doc long, _quality int")
+    return joined.join(F.broadcast(kept), ["_doc", "_quality"], "left_semi").select("_doc", "_quality", "_text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, params: QualityParams = QualityParams()) -> QualityModel:
@@ -123,10 +139,16 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, params:
     texts = {q: [t or "" for _, k, t in rows if k == q] for q in (0, 1)}
     if not any(texts[0]) or not any(texts[1]):
         return QualityModel(b" " * 8, b" " * 8, (0.0, 0.0, 0.0, 0.0), prior, params)
-    raw = QualityModel(_dictionary(texts[1], params), _dictionary(texts[0], params), (0.0,) * 4, prior, params)
-    both = texts[0] + texts[1]
-    y = np.array([0] * len(texts[0]) + [1] * len(texts[1]), float)
-    return QualityModel(raw.good, raw.bad, _calibrated(features(both, raw), y, prior), prior, params)
+    halves = [{q: t[k::2] for q, t in texts.items()} for k in (0, 1)]
+    x, y = [], []
+    for own, other in (halves, halves[::-1]):
+        if not any(other[0]) or not any(other[1]):
+            other = texts
+        model = QualityModel(_dictionary(other[1], params), _dictionary(other[0], params), (0.0,) * 4, prior, params)
+        for q in (0, 1):
+            x.append(features(own[q], model))
+            y += [float(q)] * len(own[q])
+    return QualityModel(_dictionary(texts[1], params), _dictionary(texts[0], params), _calibrated(np.concatenate(x), np.array(y), prior), prior, params)
 
 
 def score(text: Column, model: QualityModel) -> Column:
