@@ -8,7 +8,9 @@ within the frame, length), so that one record costs one seek and one small decom
 Of pages with equal payloads of at least ``revisit_bytes`` the one of the largest page_id is a
 response record, the others are revisit records that point to it (rows that repeat that page_id are
 responses too).  Smaller payloads are always responses.  A null payload is empty.  Null urls leave
-the target out.  Null page_ids are written without a number and read back as null.
+the target out.  Null page_ids are written without a number and read back as null.  Very long payloads have a frame of
+their own.  Rows that share a page_id are records each for itself, equal rows too.  An empty table writes no archive.
+Columns other than page_id, url and html are not read.
 
 Each task writes its own archives under names given by its partition, sorted by page_id, first under
 a temporary name: a repeated attempt replaces them by the same bytes.
@@ -220,26 +222,38 @@ def write(pages: DataFrame, to: str, p: WarcParams = WarcParams()) -> DataFrame:
 
 
 def read(index: DataFrame, at: str) -> DataFrame:
-    """Read whole archives back: one row per record with its facts; responses are checked against their digest."""
+    """Read every record back by its place in the index: one row per record with its facts.
+
+    Records must be where the index says; responses are checked against their digest.  Frames are dealt out, so one
+    archive is read by many tasks, and a frame is expanded once."""
 
     def run(batches):
+        reader, name, number, data = None, None, None, b""
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                reader = BundleReader(f"{at}/{name}")
-                for k in range(len(reader.frames)):
-                    out = []
-                    for head, body in records(reader.frame(k)):
-                        digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                        size, payload = http_parts(body)
-                        if head["WARC-Type"] == "response":
-                            if len(payload) != size or hashlib.sha1(payload).hexdigest() != digest:
-                                raise ValueError(f"{name}: {head['WARC-Record-ID']} is damaged")
-                        refers = head.get("WARC-Refers-To")
-                        out.append((_from_urn(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], refers and _from_urn(refers)))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                reader.close()
-
-    return index.select("archive").distinct().mapInArrow(run, READ_SCHEMA)
+            out = []
+            for page, archive, frame, offset, length in zip(*(batch.column(c).to_pylist() for c in ("page_id", "archive", "frame", "offset", "length")), strict=True):
+                if archive != name:
+                    if reader is not None:
+                        reader.close()
+                    reader, name, number = BundleReader(f"{at}/{archive}"), archive, None
+                if frame != number:
+                    data, number = reader.frame(frame), frame
+                head, body = next(records(data[offset : offset + length]))
+                digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+                size, payload = http_parts(body)
+                if _from_urn(head["WARC-Record-ID"]) != page:
+                    raise ValueError(f"{name}: the index places {page} where {head['WARC-Record-ID']} is")
+                if head["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
+                    raise ValueError(f"{name}: {head['WARC-Record-ID']} is damaged")
+                refers = head.get("WARC-Refers-To")
+                out.append((page, size, digest, head["WARC-Type"], refers and _from_urn(refers)))
+            columns = zip(*out, strict=True) if out else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        if reader is not None:
+            reader.close()
+
+    dealt = index.repartition("archive", "frame").sortWithinPartitions("archive", "frame", "offset")
+    return dealt.mapInArrow(run, READ_SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
