@@ -10,7 +10,8 @@ holds its contents.  The plan says, for each length, which run of ranks goes to
 bins; ranks are dealt by two-level counting, so no length is sorted in one task.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+``.  Documents that are null or without words give no piece.
-Rows that share a doc_id are packed each for itself.
+Rows that share a doc_id, equal ones too, are packed each for itself; pieces of one length go by hash of doc_id and piece.
+Very long texts give many pieces.  An empty table gives an empty result.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tagweave.plans.storage import table
 
-RANK_BLOCK = 1 << 12
+RANK_BLOCK = 1 << 9
 PLAN_SCHEMA = "length int, rank_from long, bin_from long, room int, capacity int"
 
 
