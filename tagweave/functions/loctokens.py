@@ -27,6 +27,7 @@ TASKS = (
     ("RegionToDescription", "<REGION_TO_DESCRIPTION>", "What does the region {0} describe?", True, False, True, False, False, False),
     ("RegionToOcr", "<REGION_TO_OCR>", "What text is in the region {0}?", True, False, True, False, False, False),
 )
+# The token patterns in ``numbers``, ``boxes``, ``quads`` and ``labelled_polygons`` are the format's own.
 TASK_SCHEMA = "task string, token string, prompt string, needs_region boolean, needs_sub_prompt boolean, text boolean, labels boolean, boxes boolean, polygons boolean"
 
 

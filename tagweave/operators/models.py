@@ -6,6 +6,7 @@ use deterministic stand-ins, and nothing here claims to equal any trained model.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.functions import pixels, scores, tags
-from tagweave.sources import files
+from tagweave.functions import geometry, loctokens, pixels, scores, tags
+from tagweave.sources import files, png
 
 _LOADED: dict[str, object] = {}
 
@@ -113,19 +114,175 @@ def inpainted(image: np.ndarray, mask: np.ndarray | None, paint: Callable, tile:
     return pixels.blended(done, w, h, tile, overlap)
 
 
-def captioned(df: DataFrame, prompt: Column, name: str, factory: Callable[[], Callable[[list, list], list[str]]]) -> DataFrame:
-    """Adds the response of a captioner to (content, prompt) and its route: captioned or failed."""
+# Our own words for what a captioner is asked by default; any other text can be given.
+SYSTEM_PROMPT = (
+    "Describe each image for a training set in one caption of at most fifty words. State what can be seen and nothing else: "
+    "subject, action, clothing, surroundings, then light and style. Where tags are given, merge those that say the same. "
+    "Name no real people. Answer with the caption alone."
+)
+
+
+def captioned(df: DataFrame, prompt: Column, name: str, factory: Callable[[], Callable], system: str | None = SYSTEM_PROMPT, pause: float = 0.0) -> DataFrame:
+    """Adds the response of a captioner to (content, prompt, system prompt) and its route: captioned or failed.
+
+    The captioner takes lists of contents and prompts, and the system prompt.  With a ``pause`` (seconds; 5 keeps a worker below
+    15 a minute) it is asked one row at a time; how many workers ask at once is the number of partitions."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = once(name, factory)
         for content, prompts in batches:
-            yield pd.Series(model(content.tolist(), prompts.tolist()))
+            if not pause:
+                yield pd.Series(model(content.tolist(), prompts.tolist(), system))
+                continue
+            out = []
+            for c, p in zip(content, prompts, strict=True):
+                out += model([c], [p], system)
+                time.sleep(pause)
+            yield pd.Series(out, dtype=object)
 
     out = df.withColumn("response", run("content", prompt))
     return out.withColumn("route", files.route(F.col("response")))
 
 
+class Registry:
+    """Models by name, filled by the user: what they are for and where their files are."""
+
+    def __init__(self):
+        self.models: dict[str, dict] = {}
+
+    def add(self, name: str, kind: str, paths: dict[str, str], **facts) -> None:
+        if name in self.models:
+            raise ValueError(f"{name} is there")
+        self.models[name] = {"kind": kind, "paths": dict(paths), **facts}
+
+    def of(self, name: str, kind: str | None = None) -> dict:
+        found = self.models.get(name)
+        if found is None or kind is not None and found["kind"] != kind:
+            raise KeyError(f"no {kind or 'model'} named {name}")
+        return found
+
+    def names(self, kind: str | None = None) -> list[str]:
+        return sorted(n for n, m in self.models.items() if kind in (None, m["kind"]))
+
+    def session(self, name: str, part: str = "model"):
+        """The session of one of a model's files, once for each worker."""
+        path = self.of(name)["paths"][part]
+        return once(f"{name}/{part}", lambda: onnx_session(path))
+
+
+def _images(df: DataFrame, f: Callable[[dict, np.ndarray], np.ndarray | None], columns: list[str]) -> DataFrame:
+    """(path, content) of new images; rows whose content cannot be decoded, or for which ``f`` gives nothing, have null content."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                image = png.decoded(row["content"])
+                made = f(row, image) if image is not None else None
+                out.append(None if made is None else png.encoded(np.clip(np.rint(made), 0, 255)))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], names=["path", "content"])
+
+    return df.select("path", "content", *columns).mapInArrow(run, "path string, content binary")
+
+
+SAMPLERS = ("lanczos", "mitchell", "bicubic", "detail")
+
+
+def resized_files(df: DataFrame, side: int, sampler: str = "lanczos") -> DataFrame:
+    """Images scaled and cut to the aspect-aligned size of ``side``, by one of four samplers."""
+    if sampler not in SAMPLERS:
+        raise ValueError(f"unknown sampler {sampler}")
+    sized = df.withColumn("_size", files.image_size(F.col("content")))
+    sized = sized.withColumn("_target", geometry.aligned_size(F.col("_size.width"), F.col("_size.height"), side))
+
+    def one(row: dict, image: np.ndarray) -> np.ndarray:
+        w, h = row["_target"].values()
+        return pixels.detail_preserving(image[:, :, :3], w, h) if sampler == "detail" else pixels.crop_resized(image, w, h, sampler)
+
+    return _images(sized, one, ["_target"])
+
+
+def cropped_files(df: DataFrame, box: Column) -> DataFrame:
+    """Images cut to a box (x, y, width, height in pixels, held to the image); without a box as they are."""
+
+    def one(row: dict, image: np.ndarray) -> np.ndarray:
+        if row["_box"] is None:
+            return image
+        x, y, w, h = (int(v) for v in row["_box"].values())
+        x, y = min(max(x, 0), image.shape[1] - 1), min(max(y, 0), image.shape[0] - 1)
+        return image[y : max(y + 1, min(y + h, image.shape[0])), x : max(x + 1, min(x + w, image.shape[1]))]
+
+    return _images(df.withColumn("_box", box), one, ["_box"])
+
+
+def upscaled_files(df: DataFrame, name: str, factory: Callable) -> DataFrame:
+    """Images through an upscaler, which takes and gives 1 x 3 x height x width, blue first, 0 to 1."""
+
+    def one(row: dict, image: np.ndarray) -> np.ndarray:
+        out = np.asarray(once(name, factory)(pixels.upscaler_input(image[:, :, :3])))
+        return out[0].transpose(1, 2, 0)[:, :, ::-1] * 255
+
+    return _images(df, one, [])
+
+
+def inpainted_files(df: DataFrame, mask: str, name: str, factory: Callable) -> DataFrame:
+    """Images whose mask (a PNG in the column ``mask``, or null) is painted over, tile by tile."""
+
+    def one(row: dict, image: np.ndarray) -> np.ndarray:
+        hole = png.decoded(row[mask])
+        return inpainted(image[:, :, :3], None if hole is None else hole[:, :, 0], once(name, factory))
+
+    return _images(df, one, [mask])
+
+
+def segmented_files(df: DataFrame, boxes: str, encode: Callable, decode: Callable) -> DataFrame:
+    """Union masks, as PNG files, of the boxes in a column (arrays of four numbers); null without boxes."""
+
+    def one(row: dict, image: np.ndarray) -> np.ndarray | None:
+        return segmented(image[:, :, :3], row[boxes], encode, decode) if row[boxes] else None
+
+    return _images(df, one, [boxes])
+
+
+END = "</s>"
+
+
+def vision(df: DataFrame, task: str, encoder: Callable, name: str, factory: Callable, region=None, sub_prompt: str | None = None, most: int = 1024) -> DataFrame:
+    """A prompted vision task over (path, content): adds answer, its size and ``parsed``, by the flags of the task.
+
+    ``encoder()`` gives the tokenizer; ``factory()`` a model with ``start(pixels, ids)``, which returns a function
+    from the tokens so far to the next logits.  Decoding is greedy.  Images that cannot be read have a null answer."""
+    prompt = loctokens.task_query(task, region, sub_prompt)
+
+    def run(batches):
+        words, model = once(f"{name}/words", encoder), once(name, factory)
+        ids = words.ids(prompt)
+        for batch in batches:
+            out = []
+            for content in batch.column("content").to_pylist():
+                image = png.decoded(content)
+                if image is None:
+                    out.append((None, None, None))
+                    continue
+                step = model.start(pixels.captioner_input(image[:, :, :3]), ids)
+                text = words.decode(greedy(step, most=most)).strip()
+                out.append((text.removesuffix(END).rstrip(), image.shape[1], image.shape[0]))
+            columns = zip(*out, strict=True) if out else ((),) * 3
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *arrays], names=["path", "answer", "width", "height"])
+
+    answers = df.select("path", "content").mapInArrow(run, "path string, answer string, width int, height int")
+    row = next(t for t in loctokens.TASKS if t[0] == task)
+    flags = F.struct(*[F.lit(v).alias(n.split()[0]) for v, n in zip(row, loctokens.TASK_SCHEMA.split(", "), strict=True)])
+    return answers.withColumn("parsed", loctokens.parsed(F.col("answer"), F.col("width"), F.col("height"), flags))
+
+
+def pending_files(df: DataFrame, done: DataFrame) -> DataFrame:
+    """Images of which no output of the same stem is there, for resuming any of these stages."""
+    return files.pending(df, done)
+
+
 def text_removed(df: DataFrame, detect: Callable, segment: Callable, paint: Callable, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Detect, segment, inpaint: three stages over (path, content) whose results ``keep(df, name)`` writes and rereads."""
 

@@ -16,6 +16,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# The listing's pattern and the one hidden file.
 IMAGES = "*.jpg,*.jpeg,*.png,*.gif,*.webp,*.avif,*.heif"
 HIDDEN = "sample_prompt_custom.txt"
 SIZE = "struct<width:int,height:int>"
