@@ -43,8 +43,8 @@ _RUN = 3  # words of the runs whose least hash names the shard of a window
 class SubstringParams:
     width: int = 20
     slice_bytes: int = 1 << 21
-    spread: int = 2  # parts for each shuffle partition, at least
-    part_bytes: int = 1 << 25  # text of a part, at most about
+    spread: int = 1  # parts for each shuffle partition, at least
+    part_bytes: int = 1 << 23  # text of a part, at most about
     bucket_bytes: int = 1 << 22  # text of a shard that is searched at a time
     patterns: int = 50_000  # word sequences of one automaton
 
