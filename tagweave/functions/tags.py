@@ -86,9 +86,16 @@ def shuffled(tags: Column, key: Column, seed: str) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["t"])
 
 
+_PLAIN = "'^[A-Za-z0-9]+( [A-Za-z0-9]+)*$'"
+
+
 def _word_in(part: str, whole: str) -> str:
-    """SQL: ``part`` stands in ``whole`` between word boundaries, in any case (a plain test comes first)."""
-    return rf"(contains(lower({whole}), lower({part})) AND regexp_like({whole}, concat('(?iuU)\\b\\Q', replace({part}, '\\E', '\\E\\\\E\\Q'), '\\E\\b')))"
+    """SQL: ``part`` stands in ``whole`` between word boundaries, in any case.
+
+    A plain test comes first; words of ASCII letters between single blanks need no pattern, which would be compiled anew for each pair."""
+    blanks = f"contains(concat(' ', lower({whole}), ' '), concat(' ', lower({part}), ' '))"
+    pattern = rf"regexp_like({whole}, concat('(?iuU)\\b\\Q', replace({part}, '\\E', '\\E\\\\E\\Q'), '\\E\\b'))"
+    return f"(contains(lower({whole}), lower({part})) AND IF(rlike({part}, {_PLAIN}) AND rlike({whole}, {_PLAIN}), {blanks}, {pattern}))"
 
 
 def redundant_sql(a: str, b: str) -> str:
@@ -222,10 +229,14 @@ def counted(text: Column) -> Column:
     return parse(F.regexp_replace(text, r"\r\n?|\n", ""))
 
 
+def draw_number(key: Column, i: Column, seed: str) -> Column:
+    """The i-th number drawn for a key: 32 bits of SHA-256, as a long."""
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(seed + ":"), key.cast("string"), F.lit(":"), i.cast("string")), 256), 1, 8), 16, 10).cast("long")
+
+
 def sampled_prompt(tags: Column, key: Column, n: int, seed: str, prefix: str = "", suffix: str = "") -> Column:
     """``n`` draws with replacement, uniform over the distinct tags, between prefix and suffix, with separators cleaned."""
-    number = lambda i: F.conv(F.substring(F.sha2(F.concat(F.lit(seed + ":"), key.cast("string"), F.lit(":"), i.cast("string")), 256), 1, 8), 16, 10).cast("long")
-    drawn = let(F.array_distinct(tags), lambda ts: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.element_at(ts, (number(i) % F.size(ts) + 1).cast("int"))))
+    drawn = let(F.array_distinct(tags), lambda ts: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.element_at(ts, (draw_number(key, i, seed) % F.size(ts) + 1).cast("int"))))
     return cleaned_prompt(F.concat_ws(", ", *([F.lit(prefix)] if prefix else []), F.array_join(drawn, ", "), *([F.lit(suffix)] if suffix else [])))
 
 

@@ -7,12 +7,13 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions import bpe, detections, filterql, geometry, loctokens, pixels, scores, tags, tokenizer, vocab
 from tagweave.operators import models, views
 from tagweave.operators.views import FILES, IMAGE_SIZES, ORDER_BOXES, ORDER_TAGS, PROMPT_RAW, TOKEN_TEXT, read
+from tagweave.plans.numbering import numbered
 from tagweave.sources import files
 from tagweave.streaming import frequency
 
@@ -179,7 +180,7 @@ def tag_frequency(spark, d):
 @query("tag_report", f"WITH {_TAG_ROWS}, c AS (SELECT tag, count(*) AS n, min((k, pos)) AS seen FROM tr GROUP BY tag) SELECT row_number() OVER (ORDER BY n DESC, seen)::INTEGER AS line, replace(tag, '_', ' ') || '=' || n AS entry FROM c")
 def tag_report(spark, d):
     c = _tag_rows(spark, d).groupBy("tag").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("seen"))
-    return c.select(F.row_number().over(Window.orderBy(F.desc("n"), "seen")).alias("line"), F.concat(F.replace("tag", F.lit("_"), F.lit(" ")), F.lit("="), F.col("n").cast("string")).alias("entry"))
+    return numbered(c, [F.desc("n"), F.col("seen")], "line", 1).select(F.col("line").cast("int").alias("line"), F.concat(F.replace("tag", F.lit("_"), F.lit(" ")), F.lit("="), F.col("n").cast("string")).alias("entry"))
 
 
 @query("tag_distinct", f"WITH {_TAG_ROWS} SELECT tag, min((k, pos)).k AS first_k, min((k, pos)).pos AS first_pos FROM (SELECT tag, {{'k': k, 'pos': pos}} AS s, k, pos FROM tr) GROUP BY tag".replace("min((k, pos))", "min(s)"))
@@ -271,7 +272,7 @@ def drop_masks(spark, d):
 @query("numeric_sort", f"WITH {FILES} SELECT stem, row_number() OVER (ORDER BY coalesce(try_cast(stem AS INTEGER), 2147483647), ordinal)::INTEGER AS place FROM fl")
 def numeric_sort(spark, d):
     f = views.files(spark, d)
-    return f.select("stem", F.row_number().over(Window.orderBy(files.numeric_key(F.col("stem")), "ordinal")).alias("place"))
+    return numbered(f, [files.numeric_key(F.col("stem")), F.col("ordinal")], "place", 1).select("stem", F.col("place").cast("int").alias("place"))
 
 
 @query("sidecar_join", f"WITH {FILES} SELECT path, CASE WHEN l.doc_id IS NULL THEN NULL ELSE 'q' || l.quality END AS txt, d.text AS caption FROM fl LEFT JOIN labels l ON l.doc_id = ordinal LEFT JOIN documents d ON d.doc_id = ordinal")
@@ -565,10 +566,15 @@ g AS (SELECT k, t, unnest(range(1, {PROMPT_TAGS + 1})) AS i FROM (SELECT unnest(
 @query("prompt_batch", REDUNDANCY_SQL.replace(ORDER_TAGS, _BATCH.replace("pt AS (", "pt0 AS (").replace("FROM pt)", "FROM pt0)") + ", pt AS (SELECT k, tags, string_split(tags, ', ') AS t FROM pp)").replace("AS tags FROM l", "AS prompt FROM l"))
 def prompt_batch(spark, d):
     seen = _tag_rows(spark, d).groupBy("tag").agg(F.min(F.struct("k", "pos")).alias("s"))
-    # the distinct tags of a data set, a small vocabulary that every prompt draws from
-    vocabulary = seen.agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "tag"))), lambda x: x["tag"]).alias("t")).first()[0]
-    drawn = spark.range(PROMPT_COUNT).select(F.col("id").alias("k"), tags.sampled_prompt(tags.literals(vocabulary), F.col("id"), PROMPT_TAGS, "9").alias("tags"))
-    return drawn.select("k", tags.redundancy_removed("tags").alias("prompt"))
+    words = numbered(seen, [F.col("s")], "at").select("at", "tag")
+    # each draw is a row that meets its tag by number, so the vocabulary may be as large as it likes
+    draws = spark.range(PROMPT_COUNT).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(PROMPT_TAGS))).alias("i"))
+    total = seen.count()
+    draws = draws.withColumn("at", tags.draw_number(F.col("k"), F.col("i"), "9") % max(1, total))
+    picked = draws.join(words, "at")
+    texts = picked.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "tag"))).alias("x"))
+    prompts = texts.select("k", tags.cleaned_prompt(F.array_join(F.transform("x", lambda y: y["tag"]), ", ")).alias("tags"))
+    return prompts.select("k", tags.redundancy_removed("tags").alias("prompt"))
 
 
 @query("prompt_metadata", rf"""WITH {PROMPT_RAW} SELECT conv_id, turn, regexp_replace(regexp_replace(split_part(raw, 'Negative prompt: ', 1), ', ?$', ''), '\s+$', '') AS positive, role AS negative, 'Steps: 20, Seed: ' || conv_id || ', Size: 5' AS parameters FROM pr""")

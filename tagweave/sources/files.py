@@ -13,9 +13,11 @@ import uuid
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave.plans.numbering import numbered
+
 # The listing's pattern and the one hidden file.
 IMAGES = "*.jpg,*.jpeg,*.png,*.gif,*.webp,*.avif,*.heif"
 HIDDEN = "sample_prompt_custom.txt"
@@ -43,8 +45,9 @@ def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
     """Images with their place in the order of paths (Unicode collation stands for culture order)."""
-    images = list_files(spark, folder, IMAGES)
-    return images.withColumn("ordinal", F.row_number().over(Window.orderBy(F.collate("path", "UNICODE"), "path")) - 1)
+    images = list_files(spark, folder, IMAGES).drop("content")
+    places = numbered(images.select("path"), [F.collate("path", "UNICODE"), F.col("path")], "ordinal")
+    return list_files(spark, folder, IMAGES).join(places.withColumn("ordinal", F.col("ordinal").cast("int")), "path")
 
 
 def numeric_key(stem: Column) -> Column:
@@ -148,8 +151,10 @@ def size_bucket(width: Column, height: Column, least: int = 512) -> Column:
 
 
 def renumbered(files: DataFrame, order: list[Column], start: int = 1) -> DataFrame:
-    """New stems by place in the order; a folder is numbered by itself."""
-    return files.withColumn("new_stem", (F.row_number().over(Window.partitionBy("dir").orderBy(*order)) + start - 1).cast("string"))
+    """New stems by place in the order; a folder is numbered by itself, however many files it has."""
+    every = numbered(files, [F.col("dir"), *order], "_n")
+    first = every.groupBy("dir").agg(F.min("_n").alias("_first"))
+    return every.join(first, "dir").withColumn("new_stem", (F.col("_n") - F.col("_first") + start).cast("string")).drop("_n", "_first")
 
 
 def subset(files: DataFrame, selected: DataFrame, key: str = "path") -> DataFrame:
