@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Ids of the start and end marks of the caption tokenizer, and the limit of its text encoder.
@@ -21,12 +23,16 @@ def _loaded(path: str):
     return t
 
 
-def caption_tokens(text: Column, path: str) -> Column:
-    """Number of tokens of a caption, without one start and one end mark; 0 for empty and null texts."""
+def caption_tokens(spark: SparkSession, text: Column, path: str) -> Column:
+    """Number of tokens of a caption, without one start and one end mark; 0 for empty and null texts.
+
+    The file is sent to the executors once; it need not lie on them."""
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     @F.pandas_udf("int")
     def count(values: pd.Series) -> pd.Series:
-        found = _loaded(path).encode_batch(values.fillna("").tolist(), add_special_tokens=False)
+        found = _loaded(SparkFiles.get(name)).encode_batch(values.fillna("").tolist(), add_special_tokens=False)
         return pd.Series([len(e.ids) - (START in e.ids) - (END in e.ids) for e in found], dtype="int32")
 
     return count(text)

@@ -662,7 +662,7 @@ def bpe_tokens(spark, d):
 @query("caption_tokens")
 def caption_tokens(spark, d):
     """Tokens of every tag text by the public caption tokenizer, and whether they pass the encoder's limit."""
-    t = views.order_tags(spark, d).select("k", tokenizer.caption_tokens(F.col("tags"), TOKENIZER).alias("n_tokens"))
+    t = views.order_tags(spark, d).select("k", tokenizer.caption_tokens(spark, F.col("tags"), TOKENIZER).alias("n_tokens"))
     return t.select("k", "n_tokens", (F.col("n_tokens") > tokenizer.LIMIT).alias("over"))
 
 
@@ -693,6 +693,38 @@ def stub_autotag(spark, d):
     return models.tagged(models.scored(pages, "content", "stub", _Stub), names, threshold=0.4).select("page_id", F.col("tag_text").alias("tags"))
 
 
+AUTO_NAMES = ("red_plate", "plate", "bolt", "blue_box", "light_blue_box", "ring", "old_ring", "nut")
+_AUTO = f"""sc AS (SELECT vec_id AS k, unnest(embedding[1:8]) AS s, unnest(range(1, 9)) AS i FROM embeddings),
+lb AS (SELECT k, string_agg(replace(([{_q(AUTO_NAMES)}])[i], '_', ' '), ', ' ORDER BY s DESC, i) AS text FROM sc WHERE s > 0.05::FLOAT GROUP BY k),
+au AS (SELECT vec_id AS k, coalesce(text, '') AS text, CASE WHEN vec_id % 3 = 0 THEN 'old_plate, ring' WHEN vec_id % 3 = 1 THEN '' END AS existing FROM embeddings LEFT JOIN lb ON k = vec_id)"""
+
+
+def _auto_sql(text: str) -> str:
+    """Redundancy removal over the generated tags."""
+    return REDUNDANCY_SQL.replace(ORDER_TAGS, f"{_AUTO}, pp AS (SELECT k, {text} AS tags FROM au), pt AS (SELECT k, tags, string_split(replace(replace(tags, ', ', ','), '  ', ' '), ',') AS t FROM pp)")
+
+
+def _auto_tagged(spark, d, mode: str) -> DataFrame:
+    existing = F.when(F.col("vec_id") % 3 == 0, "old_plate, ring").when(F.col("vec_id") % 3 == 1, "")
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("k"), F.slice("embedding", 1, 8).alias("scores"), existing.alias("existing"))
+    return models.tagged(rows, tags.literals(list(AUTO_NAMES)), "existing", threshold=0.05, mode=mode).select("k", F.col("tag_text").alias("tags"))
+
+
+@query("autotag_overwrite", _auto_sql("text"))
+def autotag_overwrite(spark, d):
+    return _auto_tagged(spark, d, "overwrite")
+
+
+@query("autotag_append", _auto_sql("CASE WHEN coalesce(existing, '') = '' THEN text ELSE replace(existing, '_', ' ') || ', ' || text END"))
+def autotag_append(spark, d):
+    return _auto_tagged(spark, d, "append")
+
+
+@query("autotag_keep", f"WITH {_AUTO} SELECT k, text AS tags FROM au")
+def autotag_keep(spark, d):
+    return _auto_tagged(spark, d, "keep")
+
+
 @query("stream_tag_frequency", "SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(replace(replace(regexp_replace(text, '\\r\\n?|\\n', '', 'g'), ', ', ','), '  ', ' '), ',')) AS tag FROM documents) GROUP BY tag")
 def stream_tag_frequency(spark, d):
     docs = read(spark, d, "documents")

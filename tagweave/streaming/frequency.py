@@ -16,11 +16,12 @@ def counts(stream: DataFrame, text: str) -> DataFrame:
     return stream.select(F.explode(tags.counted(F.col(text))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-def run_available(spark: SparkSession, folder: str, schema, text) -> DataFrame:
+def run_available(spark: SparkSession, folder: str, schema, text, name: str | None = None) -> DataFrame:
     """Read what is there as a stream, count, and return the last complete table.
 
-    State and result lie in the shared folder, so a restarted query goes on where it stopped."""
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    State and result lie in the shared folder.  A query that is given a ``name`` goes on there, after a failure or when
+    more files have come; without one it starts afresh."""
+    base = f"{shared_dir(spark)}/stream-{name or uuid.uuid4().hex}"
     source = spark.readStream.schema(schema).parquet(folder).select(text.alias("text"))
 
     def keep(batch: DataFrame, number: int) -> None:

@@ -117,3 +117,56 @@ def test_models_and_settings():
     assert f.shape == (1, 6, 3) and m.tolist() == [[1, 1, 1, 1, 0, 0]]
     s = Settings.from_json('{"tagger": {"threshold": 7}, "crop": null, "x": 1}')
     assert s.tagger.threshold == 1.0 and s.crop.expansion == 1.1 and Settings.from_json(s.to_json()) == s
+
+
+def test_stub_tagger_and_caption_tokens(spark):
+    """The queries without SQL, against plain versions over the smallest tables."""
+    import os
+
+    from tagweave.operators.catalog import CATALOG, TOKENIZER, _Stub
+    from tests.plain import without_redundant
+
+    sf = "/root/testdata/sf0.001"
+    names = ["red plate", "plate", "solo", "blue hair", "light blue hair", "ring", "old ring", "smile"]
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect()}
+    got = {r.page_id: r.tags for r in CATALOG["stub_autotag"][0](spark, sf).collect()}
+    for k, text in html.items():
+        row = _Stub()([text.encode()])[0]
+        kept = [names[i] for i in sorted(range(8), key=lambda i: (-row[i], i)) if row[i] > np.float32(0.4)]
+        assert got[k] == without_redundant(", ".join(kept)), k
+    if os.path.exists(TOKENIZER):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(TOKENIZER)
+        texts = {r.k: r.tags for r in CATALOG["tags_parse"][0](spark, sf).join(views_tags(spark, sf), "k").select("k", "tags").limit(200).collect()}
+        got = {r.k: (r.n_tokens, r.over) for r in CATALOG["caption_tokens"][0](spark, sf).collect()}
+        for k, text in texts.items():
+            n = len([i for i in t.encode(text, add_special_tokens=False).ids if i not in (49406, 49407)])
+            assert got[k] == (n, n > 75)
+
+
+def views_tags(spark, sf):
+    from tagweave.operators import views
+
+    return views.order_tags(spark, sf)
+
+
+def test_bpe_against_the_public_library(tmp_path):
+    """Files of a vocabulary and merges are read, and give the ids that the tokenizers library gives."""
+    import json
+
+    from tokenizers import Tokenizer, decoders, models as kinds, pre_tokenizers
+
+    letters = list(bpe.byte_letters().values())
+    merges = [("t", "h"), ("th", "e"), ("i", "n"), ("\u0120", "the"), ("e", "r"), ("o", "n"), ("\u0120", "a"), ("o", "u")]
+    vocab = {n: i for i, n in enumerate(["<unk>", *letters, *(a + b for a, b in merges)])}
+    (tmp_path / "v.json").write_text(json.dumps(vocab))
+    (tmp_path / "m.txt").write_text("#version\n" + "\n".join(" ".join(m) for m in merges) + "\n")
+    (tmp_path / "a.json").write_text(json.dumps({"<s>": 900}))
+    mine = bpe.Encoder.load(str(tmp_path / "v.json"), str(tmp_path / "m.txt"), str(tmp_path / "a.json"))
+    other = Tokenizer(kinds.BPE(vocab, merges, unk_token="<unk>"))
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    other.decoder = decoders.ByteLevel()
+    for text in ("the other one's in there", "Th\u00e9  12 the\n\tthin", "\u4f60 a a", " the", ""):
+        assert mine.ids(text) == other.encode(text).ids
+    assert mine.ids("a<s>the") == [vocab["a"], 900, vocab["the"]]
