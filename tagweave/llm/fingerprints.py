@@ -8,7 +8,9 @@ length; likeness is containment: the bytes of the chunks that a text shares with
 over all its own.  As text, a fingerprint is base64 of the sorted 8-byte entries (digest << 16 | length).
 
 Null texts are empty texts; an empty text has the empty fingerprint.  Two empty texts are alike
-(1.0), an empty and a non-empty one are not (0.0).
+(1.0), an empty and a non-empty one are not (0.0).  Very long texts are chunked whole, one at a time.  Rows that share a doc_id go
+by their text; equal rows follow each other and are alike.  An empty table gives an empty result.  Only doc_id and text
+are read, so columns of other names do no harm.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -117,8 +120,8 @@ def in_order(docs: DataFrame, per_task: int = 8) -> DataFrame:
     doc_id is the next row of its bucket: bucket ids are ranges of doc_id, and the first row of the
     following range is sent along as a guard.  Equal ids go by their text; the last row's successor is the first.
 
-    Ranges come from approximate quantiles that are values of the column itself, a list of a few
-    numbers per task; no window runs over all rows.  Null ids come last.
+    Ranges come from approximate quantiles that are values of the column itself, ``per_task`` numbers for each
+    task, looked up by binary search; no window runs over all rows.  Null ids come last.
     """
     spark = docs.sparkSession
     tasks = tasks_for(spark)
@@ -127,18 +130,15 @@ def in_order(docs: DataFrame, per_task: int = 8) -> DataFrame:
     want = tasks * per_task
     found = rows.agg(F.percentile_approx("key", [(i + 1) / want for i in range(want)], 20 * want).alias("q"), F.max("key").alias("top")).first()
     ends = sorted({*(found["q"] or []), *([found["top"]] if found["top"] is not None else [])})
-    size = 1 << max(1, len(ends)).bit_length()
-    padded = ends + [(1 << 63) - 1] * (size - len(ends))
-    table = F.array(*[F.lit(x).cast("long") for x in padded])
-    step, halves = size // 2, []
-    while step:
-        halves.append(step)
-        step //= 2
-    # binary search of the first range end that is not below the key
-    low = F.aggregate(F.array(*[F.lit(x) for x in halves]), F.lit(0), lambda at, s: F.when(F.element_at(table, at + s) < F.col("key"), at + s).otherwise(at))
-    last = len(ends) - 1
-    placed = rows.withColumn("b", low.cast("int"))
-    is_head = F.element_at(table, F.col("b") + 1) == F.col("key")
+    bounds, last = np.array(ends, np.int64), len(ends) - 1
+
+    @F.pandas_udf("long")
+    def place(keys: pd.Series) -> pd.Series:  # only the keys go to Python: range * 2, and 1 for a range's greatest
+        at = np.searchsorted(bounds, keys.to_numpy())
+        return pd.Series(at * 2 + (bounds[at] == keys.to_numpy()))
+
+    placed = rows.withColumn("_at", place("key")).withColumn("b", F.expr("cast(_at div 2 AS int)"))
+    is_head = F.col("_at") % 2 == 1
     guard_for = F.when(F.col("b") == last, F.lit(0)).otherwise(F.col("b") + 1)
     both = F.when(is_head, F.array(F.struct(F.col("b").alias("bucket"), F.lit(0).alias("guard")), F.struct(guard_for.alias("bucket"), F.lit(1).alias("guard")))).otherwise(F.array(F.struct(F.col("b").alias("bucket"), F.lit(0).alias("guard"))))
     dealt = placed.select("key", "doc_id", "text", F.explode(both).alias("x")).select("x.bucket", "x.guard", "key", "doc_id", "text")

@@ -14,7 +14,8 @@ word sequence also starts earlier (smaller doc_id, or the same document and an e
    other than a sequence's earliest go back to their documents, which lose these words.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; kept words are joined by one space.  Null texts have no words.
-Null ids count as the least id.  Rows that share a doc_id are parts of one document in the order of their texts; equal
+Very long texts are cut into pieces like all others; a task holds one slice, or the longest text, and one part.
+An empty table gives an empty result; other columns stay as they are.  Null ids count as the least id.  Rows that share a doc_id are parts of one document in the order of their texts; equal
 such rows are judged alike, and none of them is earlier than the other.
 """
 
@@ -298,8 +299,8 @@ def _removed(p: SubstringParams):
     return run
 
 
-def without_repeats(docs: DataFrame, p: SubstringParams = SubstringParams()) -> DataFrame:
-    """``docs`` with the kept words as text (and new columns n_words, n_removed; clashing ones are replaced)."""
+def without_repeats(docs: DataFrame, p: SubstringParams = SubstringParams(), counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
+    """``docs`` with the kept words as text, and two new columns ``counts``: words, and those removed (clashing ones are replaced)."""
     rows = identified(docs, F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("_row"))
     parts = shards = parts_for(docs, p.spread, p.part_bytes)
     schema = "kind int, part int, text binary, blob binary"
@@ -312,8 +313,8 @@ def without_repeats(docs: DataFrame, p: SubstringParams = SubstringParams()) ->
     blobs = later.select(F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_key"), F.lit(None).cast("int").alias("_k"), F.lit(None).cast(row_type).alias("_row"), F.lit(None).cast("string").alias("text"), F.col("blob").alias("_blob"), F.col("part").alias("_part"))
     dealt = both.unionByName(blobs).repartitionById(shards, F.col("_part")).sortWithinPartitions("_kind")
     out = dealt.mapInArrow(_removed(p), f"_row {row_type.simpleString()}, _text string, n_words long, n_removed long")
-    keep = [F.col(f"_row.{c}") if c != "text" else F.col("_text").alias("text") for c in docs.columns if c not in ("n_words", "n_removed")]
-    return out.select(*keep, "n_words", "n_removed")
+    keep = [F.col(f"_row.{c}") if c != "text" else F.col("_text").alias("text") for c in docs.columns if c not in counts]
+    return out.select(*keep, F.col("n_words").alias(counts[0]), F.col("n_removed").alias(counts[1]))
 
 
 def _with_shard(shards: int):
