@@ -8,16 +8,14 @@ decide every pair of a bucket, without ever listing all pairs of a group:
 
 1. each node against the bucket's least node with which it shares most buckets,
 2. each node against a pivot that every bucket draws anew, unless both are in one component by then,
-3. nodes outside a bucket's largest component against its members in other components, as pairs, in buckets of at
-   most ``pair_bucket`` nodes.  Larger ones are banded anew ``levels`` times, by ``subs`` bands of other signature values.
-   What is then still large is settled exactly: whole shingle sets meet in cells of about ``cell`` sets
+3. nodes outside a bucket's largest component against its members in other components: as pairs
+   in buckets of at most ``pair_bucket`` nodes; in larger ones whole shingle sets meet in cells of about ``cell`` sets
    and ``cell_shingles`` shingles a side, are counted against each other by matrix products, and only links leave the cell.
 
 A pair is put aside when its signatures agree in too few places for the asked similarity (six
 standard deviations below it), else it is confirmed on the full shingle sets of the two whole
-texts.  A pair that is not compared in any round is already joined by confirmed links, or shares no bucket (with 32 bands of
-4 values and similarity 0.8: probability 5e-8), or shares none that is small and is missed by all 8 new bands of each large one (1.5 %
-for each of the 13 buckets that such a pair shares on average; over all cases 1e-7).
+texts.  A pair that is not compared in any round either shares no bucket (with 32 bands of
+4 values and similarity 0.8: probability 5e-8) or is already joined by confirmed links.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  A document of fewer words than the shingle
 width has its whole sequence as one shingle; null, empty and blank texts have an empty set and are linked
@@ -52,8 +50,6 @@ class NearDupParams:
     seed: int = 99
     per_salt: int = 256  # pairs of one centre in one task
     pair_bucket: int = 24
-    levels: int = 2  # times that large buckets are banded anew
-    subs: int = 8
     cell: int = 1024
     cell_shingles: int = 1 << 20
     broadcast_rows: int = 500_000  # narrow rows that may be broadcast to pick texts; more are joined by a shuffle
@@ -277,14 +273,6 @@ def _pairs_of(placed: DataFrame, sizes: DataFrame) -> DataFrame:
     return outside.join(placed, "key").filter("own != x_own").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
-def _banded_anew(placed: DataFrame, sizes: DataFrame, nodes: DataFrame, level: int, p: NearDupParams) -> DataFrame:
-    """The members of these buckets in buckets of new bands: key, node, own."""
-    drawn = np.random.Generator(np.random.PCG64([p.seed, level])).permutation(p.bands * p.rows)[: p.subs * p.rows].reshape(p.subs, -1)
-    keys = [F.xxhash64("key", F.lit(level), F.lit(j), *[F.substring("sig", int(at) + 1, 1) for at in drawn[j]]) for j in range(p.subs)]
-    here = placed.join(sizes.select("key"), "key").join(nodes.select("node", "sig"), "node")
-    return table(here.select("node", "own", F.explode(F.array(*keys)).alias("key")).distinct(), "minmax-anew")
-
-
 def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (its least doc_id), kept."""
     rows = signed(docs, p)
@@ -311,16 +299,9 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     comps = components(links)
 
     placed = table(_with_component(members.select("key", "node"), comps, "node", "own"), "minmax-placed")
-    rest = None
-    for level in range(p.levels + 1):
-        sizes = _unsettled(placed)
-        pairs = _pairs_of(placed, sizes.filter(F.col("total") <= p.pair_bucket))
-        rest = pairs if rest is None else rest.unionByName(pairs)
-        many = sizes.filter(F.col("total") > p.pair_bucket)
-        if level == p.levels or many.isEmpty():
-            break
-        placed = _banded_anew(placed, many, nodes, level, p)
-    links = comps.unionByName(_confirmed(rest.distinct(), nodes, docs, p))
+    sizes = _unsettled(placed)
+    few, many = sizes.filter(F.col("total") <= p.pair_bucket), sizes.filter(F.col("total") > p.pair_bucket)
+    links = comps.unionByName(_confirmed(_pairs_of(placed, few), nodes, docs, p))
     if not many.isEmpty():
         links = links.unionByName(_within_cells(placed, many, nodes, docs, p))
     comps = components(links)

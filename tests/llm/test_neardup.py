@@ -68,7 +68,7 @@ def test_chains_and_groups(spark, words):
     assert {r.doc_id: r.component_id for r in out} == brute(rows, 2)
 
 
-@pytest.mark.parametrize("p", [neardup.NearDupParams(width=2, cell=100), neardup.NearDupParams(width=2, levels=0, cell=100, cell_shingles=3000), neardup.NearDupParams(width=2, broadcast_rows=0)])
+@pytest.mark.parametrize("p", [neardup.NearDupParams(width=2, cell=100, cell_shingles=3000), neardup.NearDupParams(width=2, broadcast_rows=0)])
 def test_large_buckets_of_unrelated_texts(spark, words, p):
     """Texts that share a frequent passage meet in large buckets; few of them are near copies."""
     rng = random.Random(11)
