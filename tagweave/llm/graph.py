@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.plans.storage import table
+from tagweave.plans.storage import drop, table
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -34,4 +34,5 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             return now
         seen = state
-        now = table(_small_star(_large_star(now)), "edges")
+        before, now = now, table(_small_star(_large_star(now)), "edges")
+        drop(before)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.graph import components
 from tagweave.llm.text import Words, mix, rolling, slices
-from tagweave.plans.storage import table
+from tagweave.plans.storage import drop, table
 
 
 @dataclass(frozen=True)
@@ -152,9 +152,8 @@ def _similar(x: np.ndarray, y: np.ndarray, p: NearDupParams) -> bool:
 
 
 def _with_texts(wanted: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """``wanted`` rows with the texts of their column ``node``.  Few enough rows go to the texts; else both are shuffled."""
+    """``wanted`` rows (a table) with the texts of their column ``node``.  Few enough rows go to the texts; else both are shuffled."""
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    wanted = table(wanted, "minmax-wanted")
     return texts.join(F.broadcast(wanted) if wanted.count() <= p.broadcast_rows else wanted, "node")
 
 
@@ -167,6 +166,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDupPa
     dealt = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.expr(f"m div {p.per_salt} + 1")).cast("int"))
     dealt = table(dealt.select("a", "b", "salt"), "minmax-dealt")
     wanted = dealt.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("node")).distinct().unionByName(dealt.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("node")))
+    wanted = table(wanted, "minmax-wanted")
     loaded = _with_texts(wanted, docs, p).select("a", "salt", "role", "node", "text")
     ordered = loaded.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
@@ -185,7 +185,9 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDupPa
                     v.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return table(ordered.mapInArrow(run, "u long, v long"), "minmax-links")
+    links = table(ordered.mapInArrow(run, "u long, v long"), "minmax-links")
+    drop(pairs, dealt, wanted)
+    return links
 
 
 def shared_counts(rows: list[np.ndarray], columns: list[np.ndarray], width: int) -> np.ndarray:
@@ -224,7 +226,8 @@ def _within_cells(placed: DataFrame, sizes: DataFrame, nodes: DataFrame, docs: D
     outside = outside.select("key", "ob", "mb", F.when(F.col("mb") == F.col("my_mb"), 2).otherwise(0).alias("role"), "node", "own")
     inside = here.select("key", "out", "my_ob", every("obs").alias("ob"), F.col("my_mb").alias("mb"), F.lit(1).alias("role"), "node", "own")
     inside = inside.filter("NOT out OR ob != my_ob").select("key", "ob", "mb", "role", "node", "own")
-    loaded = _with_texts(outside.unionByName(inside), docs, p).select("key", "ob", "mb", "role", "node", "own", "text")
+    wanted = table(outside.unionByName(inside), "minmax-wanted")
+    loaded = _with_texts(wanted, docs, p).select("key", "ob", "mb", "role", "node", "own", "text")
     ordered = loaded.repartition("key", "ob", "mb").sortWithinPartitions("key", "ob", "mb", "role")
 
     def links(cell):
@@ -253,7 +256,9 @@ def _within_cells(placed: DataFrame, sizes: DataFrame, nodes: DataFrame, docs: D
         u, v = links(cell)
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return table(ordered.mapInArrow(run, "u long, v long").distinct(), "minmax-cells")
+    found = table(ordered.mapInArrow(run, "u long, v long").distinct(), "minmax-cells")
+    drop(wanted)
+    return found
 
 
 def _with_component(rows: DataFrame, comps: DataFrame, node: str, into: str) -> DataFrame:
@@ -307,7 +312,8 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     comps = components(links)
 
     homes = _with_component(reps.select("digest", "node"), comps, "node", "component")
-    named = homes.select(F.col("digest").alias("_digest"), "component")
+    named = table(homes.select(F.col("digest").alias("_digest"), "component"), "minmax-named")
+    drop(reps, nodes, members, placed, sizes, comps)
     out = rows.select("doc_id", "n", "digest").join(named, F.col("digest") == F.col("_digest"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

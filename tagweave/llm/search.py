@@ -271,7 +271,7 @@ def _by_index(kept: DataFrame, queries: DataFrame, n: int, p: SearchParams) -> D
     short = table(queries.join(counts, queries["vec_id"] == counts["query_id"], "left_anti"), "ann-short")
     if not short.isEmpty():  # queries whose lists held hardly anything but rows of their own id
         near = near.unionByName(table(index.searched(index.probes(short, 0, np.inf).withColumn("bound", F.lit(None).cast("double")), test=False), "ann-whole"))
-    drop(probes, short)
+    drop(probes, short, index.rows)
     return near
 
 
