@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.llm import filter_audit, fingerprints, language_model, licenses, mixing, neardup, packing, quality, search, substrings, warc
+from tagweave.llm import filter_audit, fingerprints, language_model, licenses, mixing, neardup, packing, quality, search, spelling, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": warc.query,
     "op9_substrings": substrings.query,
     "op10_quality": quality.query,
+    "op11_spelling": spelling.query,
     "op13_filter_audit": filter_audit.query,
 }
 
