@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.llm import filter_audit, fingerprints, language_model, licenses, mixing, neardup, packing, quality, search, spelling, substrings, warc
+from tagweave.llm import filter_audit, fingerprints, jaccard, language_model, licenses, mixing, neardup, packing, quality, search, spelling, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substrings": substrings.query,
     "op10_quality": quality.query,
     "op11_spelling": spelling.query,
+    "op12_jaccard": jaccard.query,
     "op13_filter_audit": filter_audit.query,
 }
 
@@ -30,5 +31,6 @@ ORACLES: dict[str, str] = {
     "op6_licenses": licenses.oracle(),
     "op8_warc": warc.oracle(),
     "op9_substrings": substrings.oracle(),
+    "op12_jaccard": jaccard.oracle(),
     "op13_filter_audit": filter_audit.oracle(),
 }
