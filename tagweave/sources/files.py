@@ -17,10 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.plans.numbering import numbered
+from tagweave.sources import headers
+from tagweave.sources.folder import HIDDEN, IMAGES
 
-# The listing's pattern and the one hidden file.
-IMAGES = "*.jpg,*.jpeg,*.png,*.gif,*.webp,*.avif,*.heif"
-HIDDEN = "sample_prompt_custom.txt"
 SIZE = "struct<width:int,height:int>"
 
 
@@ -60,8 +59,8 @@ def without_masks(files: DataFrame) -> DataFrame:
 
 
 def texts(spark: SparkSession, folder: str, ext: str) -> DataFrame:
-    """(dir, stem, text) of the side texts of one extension."""
-    found = with_parts(spark.read.format("binaryFile").load(folder).select("path", "content"))
+    """(dir, stem, text) of the side texts of one extension; no other file is read."""
+    found = with_parts(spark.read.format("binaryFile").option("pathGlobFilter", f"*{ext}").load(folder).select("path", "content"))
     return found.filter(F.col("ext") == ext).select("dir", "stem", F.decode("content", "UTF-8").alias("text"))
 
 
@@ -77,50 +76,9 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("idx", F.replace("label", F.lit("_"), F.lit(" ")).alias("label"))
 
 
-def _png(d: bytes):
-    return struct.unpack(">II", d[16:24])
-
-
-def _gif(d: bytes):
-    return struct.unpack("<HH", d[6:10])
-
-
-def _webp(d: bytes):
-    kind = d[12:16]
-    if kind == b"VP8X":
-        return 1 + int.from_bytes(d[24:27], "little"), 1 + int.from_bytes(d[27:30], "little")
-    if kind == b"VP8L":
-        n = int.from_bytes(d[21:25], "little")
-        return 1 + (n & 0x3FFF), 1 + (n >> 14 & 0x3FFF)
-    return struct.unpack("<H", d[26:28])[0] & 0x3FFF, struct.unpack("<H", d[28:30])[0] & 0x3FFF
-
-
-def _jpeg(d: bytes):
-    at = 2
-    while at + 9 < len(d):
-        if d[at] != 0xFF:
-            return None
-        kind, size = d[at + 1], struct.unpack(">H", d[at + 2 : at + 4])[0]
-        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-            h, w = struct.unpack(">HH", d[at + 5 : at + 9])
-            return w, h
-        at += 2 + size
-    return None
-
-
 def header_size(data: bytes | None) -> tuple[int, int] | None:
     """(width, height) from an image's header; null for what cannot be read."""
-    if not data:
-        return None
-    try:
-        for magic, read in ((b"\x89PNG\r\n\x1a\n", _png), (b"GIF8", _gif), (b"\xff\xd8", _jpeg)):
-            if data.startswith(magic):
-                return read(data)
-        if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
-            return _webp(data)
-    except struct.error:
-        pass
-    return None
+    return headers.size(lambda at, n: data[at : at + n]) if data else None
 
 
 def image_size(content: Column) -> Column:
