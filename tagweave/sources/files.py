@@ -1,4 +1,4 @@
-"""Flat folders as tables: listing, side texts, label files, image headers, and sinks.
+"""Flat folders as tables: listing, side texts, label files, and image headers.
 
 A listing has path, dir, stem, ext and content; a side text is joined by (dir, stem) and is null where the
 file is missing.  Spark's reader passes over files of no bytes, so an empty file counts as a missing one.
@@ -6,13 +6,9 @@ file is missing.  Spark's reader passes over files of no bytes, so an empty file
 
 from __future__ import annotations
 
-import posixpath
 import struct
-import uuid
 
 import pandas as pd
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,29 +137,3 @@ def page(files: DataFrame, order: list[Column], number: int, size: int = 200) ->
     n = files.count()
     number = number if 0 <= number < max(1, -(-n // size)) else 0
     return files.orderBy(*order).offset(number * size).limit(size)
-
-
-def write_files(df: DataFrame, folder: str) -> DataFrame:
-    """Write rows (name, content: string or binary) as single files below a folder URI, replacing old ones; returns (name, length)."""
-
-    def run(batches):
-        filesystem, base = fs.FileSystem.from_uri(folder)
-        for batch in batches:
-            sizes = []
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = content.encode() if isinstance(content, str) else bytes(content or b"")
-                temporary = posixpath.join(base, f".{name}.{uuid.uuid4().hex}")
-                with filesystem.open_output_stream(temporary) as f:
-                    f.write(data)
-                filesystem.move(temporary, posixpath.join(base, name))
-                sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["name", "length"])
-
-    filesystem, base = fs.FileSystem.from_uri(folder)
-    filesystem.create_dir(base, recursive=True)
-    return df.select("name", "content").mapInArrow(run, "name string, length long")
-
-
-def write_lines(df: DataFrame, path: str, column: str) -> None:
-    """A text table of one line a row, replacing what was there."""
-    df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)

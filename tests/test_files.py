@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave.sources import files
+from tagweave.sources import files, sink
 
 
 def png(w, h, text=b"Comment\0p, Negative prompt: n, Steps: 1"):
@@ -34,7 +34,7 @@ def test_folder(spark, tmp_path):
     assert [tuple(r) for r in files.labels(spark, str(tmp_path / "labels.csv")).collect()] == [(0, "red hair"), (1, "smile")]
     assert files.png_text(png(1, 1)) == "p, Negative prompt: n, Steps: 1"
     out = f"file://{tmp_path}/out"
-    n = files.write_files(joined.select(F.concat("stem", F.lit(".txt")).alias("name"), F.coalesce("txt", F.lit("none")).alias("content")), out).count()
+    n = sink.write_files(joined.select(F.concat("stem", F.lit(".txt")).alias("name"), F.coalesce("txt", F.lit("none")).alias("content")), out)
     assert n == 4 and (tmp_path / "out" / "2.txt").read_text() == "a, b" and (tmp_path / "out" / "10.txt").read_text() == "none"
 
 
