@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -40,9 +41,9 @@ class SpellingParams:
     least_count: int = 2
     ratio: int = 10
     rows: int = 256  # rows that may meet; beyond that the segment is split
-    shard_rows: int = 50_000  # rows of one automaton, about
+    shard_rows: int = 20_000  # rows of one automaton, about
     task_rows: int = 200_000
-    compared: int = 1 << 22  # code points compared at a time
+    compared: int = 1 << 20  # code points compared at a time
 
 
 def dropped_letters(modulus: int = 31) -> Callable[[Column, Column], Column]:
@@ -143,7 +144,7 @@ def near_pairs(shard: pa.Table, p: SpellingParams) -> pa.RecordBatch:
     size = np.array([len(w) for w in words])
     start = np.cumsum(size + 1) - size - 1
     joined = "\n".join(words)
-    hits = np.array(list(machine.iter(joined)) if segments else [], np.int64).reshape(-1, 2)
+    hits = np.fromiter(chain.from_iterable(machine.iter(joined) if segments else ()), np.int64).reshape(-1, 2)
     end, hit = hits[:, 0] + 1, hits[:, 1]
     long = np.array([len(s) for s in segments], np.int64)[hit]
     owner = np.searchsorted(start, end - 1, "right") - 1
