@@ -2,20 +2,22 @@
 
 Columns are path, dir, stem, ext, length, width, height, txt and caption.  A schema with fewer of them reads less: headers
 are read, by ranges, only for width and height, side texts only for txt and caption, and no image body ever.
-The driver lists the folder once and deals its names, so that a task reads a range of them.  Filters by equality on path, stem and ext reach the listing.
+The driver lists the folder once for each ``load`` and deals its names, so that a task reads a range of them.  The options ``exts`` and ``stems`` (JSON
+lists) filter the listing.  They are options because a frame keeps what a filter once pushed to a Python source: a later query of it without that filter would miss rows.
 An image is a file whose extension, lower-cased, is a part of ``pattern`` (so files without one are taken); names that begin with a dot are not listed.
 Sizes are null where a header cannot be read, side texts where there is no file; an empty side file is an empty text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from tagweave.sources import headers
@@ -56,20 +58,13 @@ class FolderReader(DataSourceReader):
         unknown = set(self.columns) - {c.split()[0] for c in SCHEMA.split(", ")}
         if unknown:
             raise ValueError(f"no such columns: {', '.join(sorted(unknown))}")
-        self.allowed: list[tuple[str, frozenset[str]]] = []
+        self.allowed = {c: frozenset(json.loads(options[c + "s"])) for c in ("ext", "stem") if options.get(c + "s")}
 
     def _open(self) -> tuple[fs.FileSystem, str, str]:
         filesystem, base = located(self.folder)
         local = filesystem.type_name == "local"
         return filesystem, base.rstrip("/") + "/", ("file:" + base if local else self.folder).rstrip("/") + "/"
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
-        for f in filters:
-            if isinstance(f, EqualTo | In) and len(f.attribute) == 1 and f.attribute[0] in ("path", "stem", "ext"):
-                self.allowed.append((f.attribute[0], frozenset([f.value] if isinstance(f, EqualTo) else f.value)))
-            else:
-                yield f
-
     def partitions(self) -> list[Names]:
         filesystem, base, shown = self._open()
         found = {i.base_name: i.size for i in filesystem.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.File and not i.base_name.startswith(".")}
@@ -77,7 +72,7 @@ class FolderReader(DataSourceReader):
         for name in sorted(found):
             stem, ext = split_name(name)
             facts = {"path": shown + name, "stem": stem, "ext": ext}
-            if listed(facts["path"], ext, self.pattern) and all(facts[c] in allowed for c, allowed in self.allowed):
+            if listed(facts["path"], ext, self.pattern) and all(facts[c] in allowed for c, allowed in self.allowed.items()):
                 chosen.append((name, found[name], tuple(x for x in _SIDES if f"{stem}.{x}" in found)))
         return [Names(chosen[k : k + self.per_task]) for k in range(0, len(chosen), self.per_task)] or [Names([])]
 
@@ -114,6 +109,5 @@ class FolderSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to a session, with filters that reach it."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make the format known to a session."""
     spark.dataSource.register(FolderSource)

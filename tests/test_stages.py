@@ -85,15 +85,6 @@ def test_copies_moves_and_deletes(spark, folder, tmp_path):
     assert names(folder) == ["keep.md"]
 
 
-def test_renaming_with_clashing_numbers(spark, folder):
-    """2 becomes 1 while 1 becomes 2; side files go along, and a second run after a break ends the same."""
-    order = [F.when(F.col("stem") == "2", 0).when(F.col("stem") == "1", 1).otherwise(2)]
-    first = {n: (folder / f"{n}.png").read_bytes() for n in ("2", "1", "b")}
-    actions.renamed(images(spark, folder), order, table).collect()
-    assert names(folder) == ["1.png", "2.caption", "2.png", "2.txt", "3.png", "3.txt", "keep.md"]
-    assert (folder / "1.png").read_bytes() == first["2"] and (folder / "2.png").read_bytes() == first["1"] and (folder / "2.txt").read_text() == "one"
-
-
 def test_resizing_cropping_upscaling(spark, folder):
     found = images(spark, folder)
     for sampler in models.SAMPLERS:
