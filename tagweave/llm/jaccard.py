@@ -10,7 +10,8 @@ Two documents link when their sets of distinct word n-grams have ``num`` / ``den
    A node with fewer shared n-grams than any link needs is out.  Else the first n - ceil(0.8 n) + 1 are its prefix, and of the
    smaller node of a pair the first n - ceil(0.89 n) + 1 suffice.
 4. Join: nodes meet at the n-grams of their prefixes.  Length filter: 0.8 of the larger size.  Positional filter: what comes after the
-   n-gram in both orders bounds the overlap.  Suffix filter: so do the lesser counts of what comes after it in ``cells`` ranges of hashes.
+   n-gram in both orders bounds the overlap.  Suffix filter: parities of what comes after it in ``cells`` ranges of hashes differ in
+   no more places than the two suffixes do, which bounds the overlap further.
 5. Verification: each pair that is left is decided once, on the full sets of both whole texts.
 
 Pairs are asked for in three rounds, so that a group of near copies is never listed pair by pair: every node with the least node of the prefix n-grams it shares most,
@@ -39,7 +40,6 @@ from tagweave.llm.text import slices
 from tagweave.plans.storage import drop, table, tasks_for
 
 _KEY = 40  # bits of an n-gram within its part
-_LARGE = (1 << 16) - 1
 
 
 @dataclass(frozen=True)
@@ -48,10 +48,10 @@ class JaccardParams:
     num: int = 80
     den: int = 100
     slice_bytes: int = 1 << 22
-    part_bytes: int = 1 << 24  # text of a part, at most about
+    part_bytes: int = 1 << 23  # text of a part, at most about
     part_postings: int = 4_000_000  # postings of a part in one task
-    gathered: int = 1_000_000  # postings that a task deals at once
-    cells: int = 16
+    gathered: int = 300_000  # postings that a task handles at once, or those of the longest text
+    cells: int = 512  # parity bits of a suffix, a multiple of 64
     pair_rows: int = 24  # nodes of an n-gram that are paired by a join; more are compared in blocks
     block: int = 1024
     per_salt: int = 256  # pairs of one centre in one task
@@ -193,13 +193,15 @@ def prefixes_of(node: np.ndarray, gram: np.ndarray, df: np.ndarray, nodes: np.nd
     of = np.repeat(np.arange(len(first)), take)
     rank = at - first[of]
     pos = rank + (n - shared)[of]
-    cell = (gram & 0xFF) % p.cells
-    every = np.bincount(np.repeat(np.arange(len(first)), shared) * p.cells + cell, minlength=len(first) * p.cells).reshape(-1, p.cells)
-    before = np.zeros((len(at) + 1, p.cells), np.int64)
-    np.cumsum(cell[at][:, None] == np.arange(p.cells), axis=0, out=before[1:])
+    words = p.cells // 64
+    mine = np.zeros((len(gram), words), np.uint64)
+    mine[np.arange(len(gram)), gram % p.cells // 64] = np.uint64(1) << (gram % 64).astype(np.uint64)
+    every = np.bitwise_xor.reduceat(mine, first, axis=0) if len(first) else mine
+    before = np.zeros((len(at) + 1, words), np.uint64)
+    np.bitwise_xor.accumulate(mine[at], axis=0, out=before[1:])
     begun = (np.cumsum(take) - take)[of]
-    rest = np.minimum(every[of] - (before[1:] - before[begun]), _LARGE).astype(np.uint16)
-    raw, wide = rest.tobytes(), 2 * p.cells
+    rest = every[of] ^ before[1:] ^ before[begun]
+    raw, wide = rest.tobytes(), 8 * words
     blobs = pa.array([raw[k * wide : (k + 1) * wide] for k in range(len(at))], pa.binary())
     small = pos < (n - p.least_larger(n) + 1)[of]
     return pa.RecordBatch.from_arrays([pa.array(gram[at]), pa.array(node[at]), pa.array(n[of]), pa.array(rank), pa.array(pos), pa.array(small), blobs], names=["gram", "node", "n", "rank", "pos", "small", "rest"])
@@ -214,7 +216,16 @@ def _prefixes(p: JaccardParams):
         if postings:
             nodes, n = np.concatenate(sizes, axis=1)
             order = np.argsort(nodes)
-            yield prefixes_of(*np.concatenate(postings, axis=1), nodes[order], n[order], p)
+            nodes, n = nodes[order], n[order]
+            node, gram, df = np.concatenate(postings, axis=1)
+            del sizes, postings
+            order = np.argsort(node, kind="stable")
+            node, gram, df = node[order], gram[order], df[order]
+            at = 0
+            while at < len(node):  # some nodes at a time
+                to = int(np.searchsorted(node, node[min(at + p.gathered, len(node)) - 1], "right"))
+                yield prefixes_of(node[at:to], gram[at:to], df[at:to], nodes, n, p)
+                at = to
 
     return run
 
@@ -280,11 +291,12 @@ def passing(x: dict[str, np.ndarray], y: dict[str, np.ndarray], p: JaccardParams
     upto = np.minimum(x["rank"], y["rank"]) + 1  # n-grams in common up to this one, at most
     after = np.minimum(x["n"] - x["pos"], y["n"] - y["pos"]) - 1
     keep &= (p.num + p.den) * (upto + after) >= p.num * (low + high)
-    left = np.flatnonzero(keep & (low <= _LARGE))
-    for k in range(0, len(left), 1 << 17):
-        i = left[k : k + (1 << 17)]
-        after = np.minimum(x["rest"][x["at"][i]], y["rest"][y["at"][i]]).sum(axis=1, dtype=np.int64)
-        keep[i] &= (p.num + p.den) * (upto[i] + after) >= p.num * (low + high)[i]
+    left = np.flatnonzero(keep)
+    for k in range(0, len(left), 1 << 16):
+        i = left[k : k + (1 << 16)]
+        apart = np.bitwise_count(x["rest"][x["at"][i]] ^ y["rest"][y["at"][i]]).sum(axis=1, dtype=np.int64)
+        after = (x["n"] - x["pos"] + y["n"] - y["pos"])[i] - 2 - apart
+        keep[i] = (p.num + p.den) * (2 * upto[i] + after) >= 2 * p.num * (low + high)[i]
     return keep
 
 
@@ -297,7 +309,7 @@ def _side(columns: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarra
 
 def _facts(batch, suffix: str, p: JaccardParams) -> dict[str, np.ndarray]:
     facts = {c: batch.column(c + suffix).to_numpy(zero_copy_only=False) for c in _FACTS}
-    facts["rest"] = np.frombuffer(b"".join(batch.column("rest" + suffix).to_pylist()), np.uint16).reshape(-1, p.cells)
+    facts["rest"] = np.frombuffer(b"".join(batch.column("rest" + suffix).to_pylist()), np.uint64).reshape(-1, p.cells // 64)
     return facts
 
 
