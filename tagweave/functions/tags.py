@@ -89,7 +89,7 @@ def shuffled(tags: Column, key: Column, seed: str) -> Column:
 _PLAIN = "'^[A-Za-z0-9]+( [A-Za-z0-9]+)*$'"
 
 
-def _word_in(part: str, whole: str) -> str:
+def word_in_sql(part: str, whole: str) -> str:
     """SQL: ``part`` stands in ``whole`` between word boundaries, in any case.
 
     A plain test comes first; words of ASCII letters between single blanks need no pattern, which would be compiled anew for each pair."""
@@ -99,10 +99,10 @@ def _word_in(part: str, whole: str) -> str:
 
 
 def redundant_sql(a: str, b: str) -> str:
-    return f"({_word_in(a, b)} OR {_word_in(b, a)})"
+    return f"({word_in_sql(a, b)} OR {word_in_sql(b, a)})"
 
 
-def _category_sql(tag: str) -> str:
+def category_sql(tag: str) -> str:
     """SQL: array of the category tests of a tag; a category's words are one pattern, compiled once."""
     tests = []
     for _, words, ruled_out, _ in vocab.CATEGORIES:
@@ -127,11 +127,14 @@ def _put(s: str, f: str, t: str, h: str) -> str:
     )
 
 
-def without_redundant_sql(tags: str) -> str:
-    """SQL for the kept tags, in slot order, of an array of tags (see ``without_redundant``)."""
+def fold_sql(rows: str, redundant: str = "array_contains(x.r, p)") -> str:
+    """SQL for the kept tags, in slot order, of an array of described tags: t, c (tests of its categories), r (tags of the text it is redundant with).
+
+    ``redundant`` is the test of a tag x against a kept one p."""
+    tags = f"transform({rows}, x -> x.t)"
     n = len(vocab.CATEGORIES)
     several = [f"NOT exists({tags}, t -> lower(t) IN ({', '.join(map(sql_quote, x))}))" if x else "true" for *_, x in vocab.CATEGORIES]
-    meets = f"transform(a.s, p -> CASE WHEN p IS NULL THEN 0 WHEN {redundant_sql('x.t', 'p')} THEN IF(length(x.t) < length(p), 1, 2) ELSE 0 END)"
+    meets = f"transform(a.s, p -> CASE WHEN p IS NULL THEN 0 WHEN {redundant} THEN IF(length(x.t) < length(p), 1, 2) ELSE 0 END)"
     facts = (
         "named_struct('red', array_contains(IF(j = 0, r, slice(r, 1, cast(j AS int) - 1)), 1), "
         "'s', IF(j > 0, transform(a.s, (p, i) -> IF(i = j - 1, cast(null AS string), p)), a.s), "
@@ -139,18 +142,23 @@ def without_redundant_sql(tags: str) -> str:
         "'k', cast(array_position(zip_with(x.c, a.h, (b, d) -> b AND NOT d), true) AS int))"
     )
     held = "transform(a.h, (b, i) -> b OR (i = e.k - 1 AND st[i]))"
-    cleared = f"named_struct('s', transform(e.s, p -> IF(p IS NOT NULL AND {redundant_sql('p', 'x.t')}, cast(null AS string), p)), 'h', a.h)"
+    cleared = f"named_struct('s', transform(e.s, p -> IF(p IS NOT NULL AND {redundant}, cast(null AS string), p)), 'h', a.h)"
     freed = "filter(transform(e.s, (p, i) -> IF(p IS NOT NULL AND g.s[i] IS NULL, i, -1)), i -> i >= 0)"
     general = _let(cleared, "g", _let(f"concat(reverse({freed}), e.f)", "q", _put("g.s", "q", "x.t", "a.h")))
     step = f"CASE WHEN e.k > 0 THEN {_put('e.s', 'e.f', 'x.t', held)} WHEN e.red OR array_contains(x.c, true) THEN named_struct('s', e.s, 'f', e.f, 'h', a.h) ELSE {general} END"
     step = _let(meets, "r", _let("array_position(r, 2)", "j", _let(facts, "e", step)))
-    rows = f"transform({tags}, t -> named_struct('t', t, 'c', {_category_sql('t')}))"
     start = f"named_struct('s', cast(array() AS array<string>), 'f', cast(array() AS array<int>), 'h', array_repeat(false, {n}))"
     fold = f"aggregate({rows}, {start}, (a, x) -> {step}, a -> a.s)"
     stop = ", ".join(map(sql_quote, vocab.STOP_TAGS))
     return _let(f"array({', '.join(several)})", "st", f"filter({fold}, p -> p IS NOT NULL AND lower(p) NOT IN ({stop}))")
 
 
+def without_redundant_sql(tags: str) -> str:
+    """SQL for the kept tags, in slot order, of an array of tags (see ``without_redundant``)."""
+    rows = f"transform({tags}, t -> named_struct('t', t, 'c', {category_sql('t')}))"
+    return _let(rows, "rows", fold_sql("rows", redundant_sql("x.t", "p")))
+
+
 def without_redundant(tags: str) -> Column:
     """Tags of the named array column without redundant ones and with one value for each category.
 

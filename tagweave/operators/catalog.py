@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions import bpe, detections, filterql, geometry, loctokens, pixels, scores, tags, tokenizer, vocab
-from tagweave.operators import models, views
+from tagweave.operators import models, redundancy, views
 from tagweave.operators.views import FILES, IMAGE_SIZES, ORDER_BOXES, ORDER_TAGS, PROMPT_RAW, TOKEN_TEXT, read
 from tagweave.plans.numbering import numbered
+from tagweave.plans.storage import table
 from tagweave.sources import files
 from tagweave.streaming import frequency
 
@@ -114,7 +115,7 @@ SELECT k, {_JOIN.format("l")} AS tags FROM l"""
 
 @query("tags_redundancy", REDUNDANCY_SQL)
 def tags_redundancy(spark, d):
-    return views.order_tags(spark, d).select("k", tags.redundancy_removed("tags").alias("tags"))
+    return redundancy.redundancy_removed(table(views.order_tags(spark, d), "order-tags"), "k", "tags")
 
 
 @query("tags_redundancy_categories")
@@ -179,7 +180,7 @@ def tag_frequency(spark, d):
 
 @query("tag_report", f"WITH {_TAG_ROWS}, c AS (SELECT tag, count(*) AS n, min((k, pos)) AS seen FROM tr GROUP BY tag) SELECT row_number() OVER (ORDER BY n DESC, seen)::INTEGER AS line, replace(tag, '_', ' ') || '=' || n AS entry FROM c")
 def tag_report(spark, d):
-    c = _tag_rows(spark, d).groupBy("tag").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("seen"))
+    c = table(_tag_rows(spark, d).groupBy("tag").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("seen")), "tag-counts")
     return numbered(c, [F.desc("n"), F.col("seen")], "line", 1).select(F.col("line").cast("int").alias("line"), F.concat(F.replace("tag", F.lit("_"), F.lit(" ")), F.lit("="), F.col("n").cast("string")).alias("entry"))
 
 
@@ -565,7 +566,7 @@ g AS (SELECT k, t, unnest(range(1, {PROMPT_TAGS + 1})) AS i FROM (SELECT unnest(
 
 @query("prompt_batch", REDUNDANCY_SQL.replace(ORDER_TAGS, _BATCH.replace("pt AS (", "pt0 AS (").replace("FROM pt)", "FROM pt0)") + ", pt AS (SELECT k, tags, string_split(tags, ', ') AS t FROM pp)").replace("AS tags FROM l", "AS prompt FROM l"))
 def prompt_batch(spark, d):
-    seen = _tag_rows(spark, d).groupBy("tag").agg(F.min(F.struct("k", "pos")).alias("s"))
+    seen = table(_tag_rows(spark, d).groupBy("tag").agg(F.min(F.struct("k", "pos")).alias("s")), "tags-seen")
     words = numbered(seen, [F.col("s")], "at").select("at", "tag")
     # each draw is a row that meets its tag by number, so the vocabulary may be as large as it likes
     draws = spark.range(PROMPT_COUNT).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(PROMPT_TAGS))).alias("i"))
@@ -574,7 +575,7 @@ def prompt_batch(spark, d):
     picked = draws.join(words, "at")
     texts = picked.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "tag"))).alias("x"))
     prompts = texts.select("k", tags.cleaned_prompt(F.array_join(F.transform("x", lambda y: y["tag"]), ", ")).alias("tags"))
-    return prompts.select("k", tags.redundancy_removed("tags").alias("prompt"))
+    return redundancy.redundancy_removed(table(prompts, "prompts"), "k", "tags").withColumnRenamed("tags", "prompt")
 
 
 @query("prompt_metadata", rf"""WITH {PROMPT_RAW} SELECT conv_id, turn, regexp_replace(regexp_replace(split_part(raw, 'Negative prompt: ', 1), ', ?$', ''), '\s+$', '') AS positive, role AS negative, 'Steps: 20, Seed: ' || conv_id || ', Size: 5' AS parameters FROM pr""")
