@@ -47,10 +47,10 @@ class JaccardParams:
     width: int = 5
     num: int = 80
     den: int = 100
-    slice_bytes: int = 1 << 22
+    slice_bytes: int = 1 << 20
     part_bytes: int = 1 << 23  # text of a part, at most about
     part_postings: int = 4_000_000  # postings of a part in one task
-    gathered: int = 300_000  # postings that a task handles at once, or those of the longest text
+    gathered: int = 200_000  # postings that a task handles at once, or those of the longest text
     cells: int = 512  # parity bits of a suffix, a multiple of 64
     pair_rows: int = 24  # nodes of an n-gram that are paired by a join; more are compared in blocks
     block: int = 1024
@@ -266,7 +266,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: JaccardPara
 
     def run(batches):
         centre, own = None, np.zeros(0, np.uint64)
-        for batch, buf, offs in slices(batches):
+        for batch, buf, offs in slices(batches, limit=p.slice_bytes):
             u, v = [], []
             for a, salt, role, node, s in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "role", "node")), shingle_sets(buf, offs, p.width), strict=True):
                 if role == 0:
