@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,9 +15,9 @@ from tagweave.functions import bpe, detections, filterql, geometry, loctokens, p
 from tagweave.operators import models, redundancy, views
 from tagweave.operators.views import FILES, IMAGE_SIZES, ORDER_BOXES, ORDER_TAGS, PROMPT_RAW, TOKEN_TEXT, read
 from tagweave.plans.numbering import numbered
-from tagweave.plans.storage import table
+from tagweave.plans.storage import shared_dir, table
 from tagweave.sources import files
-from tagweave.streaming import frequency
+from tagweave.streaming import edits, frequency
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -730,3 +731,18 @@ def autotag_keep(spark, d):
 def stream_tag_frequency(spark, d):
     docs = read(spark, d, "documents")
     return frequency.run_available(spark, f"{d}/documents.parque[t]", docs.schema, F.col("text"))
+
+
+QUIET_MS, LATE_MS = 3_600_000, 600_000
+
+
+@query(
+    "debounced_edits",
+    f"""WITH e AS (SELECT user_id::VARCHAR AS path, epoch_us(ts) AS at_us, props AS text, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after, max(epoch_us(ts)) OVER () AS newest FROM events WHERE user_id IS NOT NULL)
+SELECT path, at_us, text FROM e WHERE coalesce(after - at_us >= {QUIET_MS}000, true) AND ceil((at_us + {QUIET_MS}000) / 1000.0) <= newest // 1000 - {LATE_MS}""",
+)
+def debounced_edits(spark, d):
+    """Events as a user's edits, as a stream: those followed by an hour of quiet are saved."""
+    events = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    saved = edits.debounced(events, F.col("user_id"), F.col("ts"), F.col("event_id"), F.col("props"), QUIET_MS, f"{LATE_MS} milliseconds")
+    return edits.run_available(spark, saved, f"{shared_dir(spark)}/edits-{uuid.uuid4().hex}").select("path", F.unix_micros("at").alias("at_us"), "text")
