@@ -6,7 +6,6 @@ use deterministic stand-ins, and nothing here claims to equal any trained model.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,25 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions import geometry, loctokens, pixels, scores, tags
+from tagweave.operators.captions import once
 from tagweave.sources import files, png
 
-_LOADED: dict[str, object] = {}
-
 Scorer = Callable[[list], np.ndarray]
 
 
-def once(name: str, factory: Callable[[], object]) -> object:
-    """One instance of a model in each worker process."""
-    if name not in _LOADED:
-        _LOADED[name] = factory()
-    return _LOADED[name]
-
-
-def unload(name: str | None = None) -> None:
-    for key in [name] if name else list(_LOADED):
-        _LOADED.pop(key, None)
-
-
 def onnx_session(path: str):
     """A CPU session of one thread, or the best provider that is there."""
     import onnxruntime as ort
@@ -114,37 +100,6 @@ def inpainted(image: np.ndarray, mask: np.ndarray | None, paint: Callable, tile:
     return pixels.blended(done, w, h, tile, overlap)
 
 
-# Our own words for what a captioner is asked by default; any other text can be given.
-SYSTEM_PROMPT = (
-    "Describe each image for a training set in one caption of at most fifty words. State what can be seen and nothing else: "
-    "subject, action, clothing, surroundings, then light and style. Where tags are given, merge those that say the same. "
-    "Name no real people. Answer with the caption alone."
-)
-
-
-def captioned(df: DataFrame, prompt: Column, name: str, factory: Callable[[], Callable], system: str | None = SYSTEM_PROMPT, pause: float = 0.0) -> DataFrame:
-    """Adds the response of a captioner to (content, prompt, system prompt) and its route: captioned or failed.
-
-    The captioner takes lists of contents and prompts, and the system prompt.  With a ``pause`` (seconds; 5 keeps a worker below
-    15 a minute) it is asked one row at a time; how many workers ask at once is the number of partitions."""
-
-    @F.pandas_udf("string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = once(name, factory)
-        for content, prompts in batches:
-            if not pause:
-                yield pd.Series(model(content.tolist(), prompts.tolist(), system))
-                continue
-            out = []
-            for c, p in zip(content, prompts, strict=True):
-                out += model([c], [p], system)
-                time.sleep(pause)
-            yield pd.Series(out, dtype=object)
-
-    out = df.withColumn("response", run("content", prompt))
-    return out.withColumn("route", files.route(F.col("response")))
-
-
 class Registry:
     """Models by name, filled by the user: what they are for and where their files are."""
 

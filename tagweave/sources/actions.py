@@ -121,9 +121,11 @@ def backed_up(images: DataFrame, folder: str) -> DataFrame:
     return _carried_out(_into(images, folder).filter(~F.substring_index("source", "/", -1).rlike(r"\.(txt|caption)$")), _copy)
 
 
-def moved(images: DataFrame, folder: str, keep: Keep) -> DataFrame:
-    """Move images and their side files.  ``keep(df, name)`` writes and rereads the plan before the first file goes."""
-    return _carried_out(_settled(_into(images, folder), keep, "moving"), _move)
+def moved(images: DataFrame, folder: str, keep: Keep, sides: bool = True) -> DataFrame:
+    """Move images and, if asked, their side files.  ``keep(df, name)`` writes and rereads the plan before the first file goes."""
+    plan = _into(images, folder)
+    plan = plan if sides else plan.filter(~F.col("source").rlike(r"\.(txt|caption)$"))
+    return _carried_out(_settled(plan, keep, "moving"), _move)
 
 
 def sorted_by(images: DataFrame, bucket: Column, folders: dict[str, str], keep: Keep) -> DataFrame:
