@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 
@@ -19,25 +20,49 @@ def byte_letters() -> dict[int, str]:
 
 
 class Splitter:
-    """Cuts special tokens out of a text: the first to be completed wins, a one-letter token at once."""
+    """Cuts special tokens out of a text: the first to be completed wins, the longest of those completed together, a one-letter token at once.
+
+    The tokens are a trie; where the live start cannot go on, the node's link leads to the next start that can, so a text is read once."""
 
     def __init__(self, tokens: list[str]):
-        self.tokens = [t for t in tokens if t]
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.ends = [0], [0]  # length of the longest token that ends at a node
+        for token in tokens:
+            node = 0
+            for letter in token:
+                if letter not in self.next[node]:
+                    self.next[node][letter] = len(self.next)
+                    self.next.append({})
+                    self.link.append(0)
+                    self.ends.append(0)
+                node = self.next[node][letter]
+            if token:
+                self.ends[node] = len(token)
+        self.single = {t for t in tokens if len(t) == 1}
+        level = list(self.next[0].values())
+        while level:
+            for node in level:
+                for letter, child in self.next[node].items():
+                    self.link[child] = self._step(self.link[node], letter)
+                    self.ends[child] = self.ends[child] or self.ends[self.link[child]]
+            level = [child for node in level for child in self.next[node].values()]
+
+    def _step(self, node: int, letter: str) -> int:
+        while letter not in self.next[node] and node:
+            node = self.link[node]
+        return self.next[node].get(letter, 0)
 
     def split(self, text: str) -> list[str]:
-        out, at, open_at = [], 0, []
-        i = 0
-        while i < len(text):
-            open_at = [(s, t) for s, t in open_at if text[i] == t[i - s]]
-            open_at += [(i, t) for t in self.tokens if t[0] == text[i]]
-            done = [(s, t) for s, t in open_at if i - s + 1 == len(t)]
-            if done:
-                s, t = next(((s, t) for s, t in done if len(t) == 1), min(done, key=lambda x: x[0]))
-                if s > at:
-                    out.append(text[at:s])
-                out.append(t)
-                at, open_at = i + 1, []
-            i += 1
+        out, at, node = [], 0, 0
+        for i, letter in enumerate(text):
+            node = self._step(node, letter)
+            size = 1 if letter in self.single else self.ends[node]
+            if size:
+                start = i + 1 - size
+                if start > at:
+                    out.append(text[at:start])
+                out.append(text[start : i + 1])
+                at, node = i + 1, 0
         if at < len(text):
             out.append(text[at:])
         return out
@@ -49,6 +74,7 @@ class Encoder:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int] | None = None, unknown: str = "<unk>"):
         self.vocab, self.special, self.unknown = vocab, special or {}, unknown
         self.rank = {m: i for i, m in enumerate(merges)}
+        self.pairs = {i: m for m, i in self.rank.items()}
         self.letters = byte_letters()
         self.bytes = {v: k for k, v in self.letters.items()}
         self.names = {i: t for t, i in {**vocab, **self.special}.items()}
@@ -67,22 +93,38 @@ class Encoder:
                 special = json.load(a)
         return cls(vocab, merges, special)
 
+    @classmethod
+    def of_file(cls, path: str) -> Encoder:
+        """From a tokenizer file of a public library: its vocabulary, merges and added tokens."""
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in whole["model"]["merges"]]
+        return cls(whole["model"]["vocab"], merges, {t["content"]: t["id"] for t in whole.get("added_tokens", [])})
+
     def _merged(self, word: str) -> tuple[str, ...]:
-        parts = list(word)
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:], strict=False), key=lambda p: self.rank.get(p, 1 << 60))
-            if best not in self.rank:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return tuple(parts)
+        """All pairs of the least rank at a time, left to right: parts are a linked list, pairs lie in a heap by rank and place."""
+        parts: list[str | None] = list(word)
+        after, before = [*range(1, len(parts)), -1], list(range(-1, len(parts) - 1))
+        heap = [(self.rank[p], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in self.rank]
+        heapq.heapify(heap)
+        while heap:
+            rank = heap[0][0]
+            places = []
+            while heap and heap[0][0] == rank:
+                places.append(heapq.heappop(heap)[1])
+            left, right = self.pairs[rank]
+            for i in places:  # in order, as they come from the heap
+                j = after[i]
+                if parts[i] != left or j < 0 or parts[j] != right:
+                    continue  # gone since it was put in
+                parts[i], parts[j] = left + right, None
+                after[i] = after[j]
+                if after[j] >= 0:
+                    before[after[j]] = i
+                for a, b in ((before[i], i), (i, after[i])):
+                    if a >= 0 and b >= 0 and (pair := (parts[a], parts[b])) in self.rank:
+                        heapq.heappush(heap, (self.rank[pair], a))
+        return tuple(p for p in parts if p is not None)
 
     def tokens(self, text: str) -> list[str]:
         out = []
@@ -98,10 +140,10 @@ class Encoder:
         lost = self.vocab.get(self.unknown, self.special.get(self.unknown, 3))
         return [self.special.get(t, self.vocab.get(t, lost)) for t in self.tokens(text)]
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids; leading ids below 3 are passed over."""
+    def decode(self, ids: list[int], marks: int = 3) -> str:
+        """Text of ids; leading ids below ``marks`` are passed over."""
         at = 0
-        while at < len(ids) and ids[at] < 3:
+        while at < len(ids) and ids[at] < marks:
             at += 1
         joined = "".join(self.names.get(i, "") for i in ids[at:])
         return bytes(self.bytes[c] for c in joined if c in self.bytes).decode("utf-8", "replace")

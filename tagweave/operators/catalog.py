@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from tagweave.sources import files
 from tagweave.streaming import edits, frequency
 
 Query = Callable[[SparkSession, str], DataFrame]
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER, BYTE_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json", "/opt/tokenizers/byte_bpe_50k.json"
 CATALOG: dict[str, tuple[Query, str | None]] = {}
 
 
@@ -649,13 +651,15 @@ def dilate(spark, d):
 
 @query("bpe_tokens")
 def bpe_tokens(spark, d):
+    """Tokens of every text by a whole public vocabulary, and whether they give the text back."""
+    spark.sparkContext.addFile(BYTE_TOKENIZER)
+    name = os.path.basename(BYTE_TOKENIZER)
+
     def run(batches):
-        merges = [("t", "h"), ("th", "e"), ("i", "n"), ("a", "n"), ("Ġ", "the"), ("e", "r"), ("o", "n"), ("Ġ", "an"), ("o", "u"), ("d", "e")]
-        names = list(dict.fromkeys([*bpe.byte_letters().values(), *(a + b for a, b in merges)]))
-        encoder = bpe.Encoder({n: i + 4 for i, n in enumerate(names)}, merges, {"<s>": 0, "<pad>": 1, "</s>": 2, "<unk>": 3})
+        encoder = models.once(name, lambda: bpe.Encoder.of_file(SparkFiles.get(name)))
         for b in batches:
             ids = [encoder.ids(t or "") for t in b.column("text").to_pylist()]
-            same = [encoder.decode(x) == (t or "") for x, t in zip(ids, b.column("text").to_pylist(), strict=True)]
+            same = [encoder.decode(x, 0) == (t or "") for x, t in zip(ids, b.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int32()), pa.array(same)], names=["doc_id", "n_tokens", "round_trip"])
 
     return read(spark, d, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens int, round_trip boolean")
