@@ -14,9 +14,9 @@ Two documents link when their sets of distinct word n-grams have ``num`` / ``den
    no more places than the two suffixes do, which bounds the overlap further.
 5. Verification: each pair that is left is decided once, on the full sets of both whole texts.
 
-Pairs are asked for in three rounds, so that a group of near copies is never listed pair by pair: every node with the least node of the prefix n-grams it shares most,
-then with a drawn one, then all nodes of an n-gram that are in different components by then: the nodes outside
-its largest component, in blocks, against the others, by arrays of which only pairs that pass the filters come out.
+Pairs are asked for in rounds, so that a group of near copies is never listed pair by pair: every node with the least node of the prefix n-grams it shares most,
+then with a drawn one, then with its likeliest partner in another component, as long as that joins any; last all nodes of an
+n-gram that are in different components still: those outside its largest component, in blocks, against the others, by arrays of which only pairs that pass the filters come out.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  A document of fewer words than the width has its whole sequence as one n-gram; null, empty and blank
 texts have an empty set and are linked with nothing.  N-grams are told by 64-bit hashes, equal sets by 128-bit digests.
@@ -283,8 +283,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: JaccardPara
     return links
 
 
-def passing(x: dict[str, np.ndarray], y: dict[str, np.ndarray], p: JaccardParams) -> np.ndarray:
-    """Which pairs of prefix rows of one n-gram pass the length, positional and suffix filters."""
+def margins(x: dict[str, np.ndarray], y: dict[str, np.ndarray], p: JaccardParams) -> np.ndarray:
+    """By what share of their sizes pairs of prefix rows of one n-gram may exceed the needed overlap; negative where the length, positional or suffix filter drops them."""
     swap = (x["n"] > y["n"]) | ((x["n"] == y["n"]) & (x["node"] > y["node"]))
     low, high = np.minimum(x["n"], y["n"]), np.maximum(x["n"], y["n"])
     keep = np.where(swap, y["small"], x["small"]) & (p.den * low >= p.num * high)
@@ -292,12 +292,14 @@ def passing(x: dict[str, np.ndarray], y: dict[str, np.ndarray], p: JaccardParams
     after = np.minimum(x["n"] - x["pos"], y["n"] - y["pos"]) - 1
     keep &= (p.num + p.den) * (upto + after) >= p.num * (low + high)
     left = np.flatnonzero(keep)
+    out = np.full(len(keep), -1.0)
     for k in range(0, len(left), 1 << 16):
         i = left[k : k + (1 << 16)]
         apart = np.bitwise_count(x["rest"][x["at"][i]] ^ y["rest"][y["at"][i]]).sum(axis=1, dtype=np.int64)
         after = (x["n"] - x["pos"] + y["n"] - y["pos"])[i] - 2 - apart
-        keep[i] = (p.num + p.den) * (2 * upto[i] + after) >= 2 * p.num * (low + high)[i]
-    return keep
+        size = (low + high)[i]
+        out[i] = ((p.num + p.den) * (2 * upto[i] + after) - 2 * p.num * size) / size
+    return out
 
 
 _FACTS = ("n", "node", "rank", "pos", "small")
@@ -321,14 +323,14 @@ def _paired(p: JaccardParams):
     def run(batches):
         for batch in batches:
             x, y = (_side(_facts(batch, s, p), np.arange(batch.num_rows)) for s in ("_x", "_y"))
-            keep = passing(x, y, p)
+            keep = margins(x, y, p) >= 0
             yield _pairs_batch(x["node"][keep], y["node"][keep])
 
     return run
 
 
-def _blocks(p: JaccardParams):
-    """Rows of one cell (gram, ob, mb) after another: those of role 0 and 2 against those of role 1 and 2 in other components."""
+def _blocks(p: JaccardParams, best: bool):
+    """Rows of one cell (gram, ob, mb) after another: those of role 0 and 2 against those of role 1 and 2 in other components; all that pass, or each one's likeliest."""
 
     def found(cell: pa.Table):
         facts = _facts(cell.combine_chunks(), "", p)
@@ -338,7 +340,11 @@ def _blocks(p: JaccardParams):
             i, j = np.repeat(a[k : k + 128], len(b)), np.tile(b, len(a[k : k + 128]))
             apart = own[i] != own[j]
             i, j = i[apart], j[apart]
-            keep = passing(_side(facts, i), _side(facts, j), p)
+            margin = margins(_side(facts, i), _side(facts, j), p)
+            keep = np.flatnonzero(margin >= 0)
+            if best:
+                keep = keep[np.lexsort((facts["node"][j[keep]], -margin[keep], i[keep]))]
+                keep = keep[np.unique(i[keep], return_index=True)[1]]
             yield _pairs_batch(facts["node"][i[keep]], facts["node"][j[keep]])
 
     def run(batches):
@@ -365,35 +371,67 @@ def _with_component(rows: DataFrame, comps: DataFrame, node: str, into: str) ->
     return rows.join(c, F.col(node) == F.col("_u"), "left").withColumn(into, F.coalesce("_v", node)).drop("_u", "_v")
 
 
-def candidates(placed: DataFrame, p: JaccardParams) -> DataFrame:
-    """Distinct pairs (a, b) of different components (``own``) that meet at a prefix n-gram and pass the filters."""
+def unsettled(placed: DataFrame) -> DataFrame:
+    """N-grams of several components (``own``): gram, total, smalls, largest (component) and inside (its nodes)."""
     sizes = placed.groupBy("gram", "own").agg(F.count("*").alias("m"), F.count_if("small").alias("smalls")).groupBy("gram")
     sizes = sizes.agg(F.max(F.struct("m", "own")).alias("x"), F.sum("m").alias("total"), F.sum("smalls").alias("smalls"), F.count("*").alias("c"))
-    sizes = table(sizes.filter("c > 1 AND smalls > 0").select("gram", "total", F.col("x.own").alias("largest"), F.col("x.m").alias("inside")), "ngram-unsettled")
-    facts = [*_FACTS, "rest", "own"]
-    here = placed.join(sizes.filter(F.col("total") <= p.pair_rows).select("gram", "largest"), "gram")
-    x = here.filter("own != largest").select("gram", *[F.col(c).alias(c + "_x") for c in facts])
-    y = here.select("gram", "largest", *[F.col(c).alias(c + "_y") for c in facts])
+    return table(sizes.filter("c > 1 AND smalls > 0").select("gram", "total", F.col("x.own").alias("largest"), F.col("x.m").alias("inside")), "ngram-unsettled")
+
+
+_PLACED = [*_FACTS, "rest", "own"]
+
+
+def _of_few(placed: DataFrame, few: DataFrame, p: JaccardParams) -> DataFrame:
+    """Pairs (a, b) that pass the filters at n-grams of few nodes, by a join."""
+    here = placed.join(few.select("gram", "largest"), "gram")
+    x = here.filter("own != largest").select("gram", *[F.col(c).alias(c + "_x") for c in _PLACED])
+    y = here.select("gram", "largest", *[F.col(c).alias(c + "_y") for c in _PLACED])
     pairs = x.join(y, "gram").filter("own_x != own_y AND (own_y = largest OR node_x < node_y)").drop("gram", "largest", "own_x", "own_y")
-    found = pairs.mapInArrow(_paired(p), "a long, b long")
-    many = sizes.filter(F.col("total") > p.pair_rows)
+    return pairs.mapInArrow(_paired(p), "a long, b long")
+
+
+def _of_many(placed: DataFrame, many: DataFrame, p: JaccardParams, best: bool) -> DataFrame:
+    """Pairs (a, b) that pass the filters at n-grams of many nodes, by blocks; or of each node outside the largest component its likeliest in each block."""
+    here = placed.join(many, "gram").withColumn("out", F.col("own") != F.col("largest"))
+    of = lambda n: F.expr(f"cast({n} div {p.block} + 1 AS int)")
+    here = here.withColumn("obs", of("(total - inside)")).withColumn("mbs", of("total"))
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    here = here.withColumn("my_ob", mine("obs")).withColumn("my_mb", mine("mbs"))
+    # a node outside comes once to each cell of its block; it is one of the others too where the cell is that of its other block
+    outside = here.filter("out").select("gram", F.col("my_ob").alias("ob"), every("mbs").alias("mb"), "my_mb", *_PLACED)
+    outside = outside.withColumn("role", F.when(F.col("mb") == F.col("my_mb"), 2).otherwise(0)).drop("my_mb")
+    inside = here.select("gram", every("obs").alias("ob"), F.col("my_mb").alias("mb"), "out", "my_ob", *_PLACED).withColumn("role", F.lit(1))
+    inside = inside.filter("NOT out OR ob != my_ob").drop("out", "my_ob")
+    cells = outside.unionByName(inside).repartition("gram", "ob", "mb").sortWithinPartitions("gram", "ob", "mb")
+    return cells.mapInArrow(_blocks(p, best), "a long, b long")
+
+
+def _settled(met: DataFrame, comps: DataFrame, tried: DataFrame, nodes: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
+    """Components when all nodes that meet and may link have been compared, or are in one component.
+
+    Where many meet, each node outside the largest component first tries its likeliest partner of another one, as long as that joins
+    any: what is left to compare pair by pair is then what hardly links."""
+    while True:
+        placed = table(_with_component(met, comps, "node", "own"), "ngram-placed")
+        sizes = unsettled(placed)
+        many = sizes.filter(F.col("total") > p.pair_rows)
+        if many.isEmpty():
+            break
+        pairs = table(_of_many(placed, many, p, True).distinct().join(tried, ["a", "b"], "left_anti"), "ngram-candidates")
+        links = verified(pairs, nodes, texts, p)
+        tried = tried.unionByName(pairs)
+        if links.isEmpty():
+            break
+        drop(placed, sizes)
+        comps = components(comps.unionByName(links))
+    found = _of_few(placed, sizes.filter(F.col("total") <= p.pair_rows), p)
     if not many.isEmpty():
-        here = placed.join(many, "gram").withColumn("out", F.col("own") != F.col("largest"))
-        of = lambda n: F.expr(f"cast({n} div {p.block} + 1 AS int)")
-        here = here.withColumn("obs", of("(total - inside)")).withColumn("mbs", of("total"))
-        mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        here = here.withColumn("my_ob", mine("obs")).withColumn("my_mb", mine("mbs"))
-        # a node outside comes once to each cell of its block; it is one of the others too where the cell is that of its other block
-        outside = here.filter("out").select("gram", F.col("my_ob").alias("ob"), every("mbs").alias("mb"), "my_mb", *facts)
-        outside = outside.withColumn("role", F.when(F.col("mb") == F.col("my_mb"), 2).otherwise(0)).drop("my_mb")
-        inside = here.select("gram", every("obs").alias("ob"), F.col("my_mb").alias("mb"), "out", "my_ob", *facts).withColumn("role", F.lit(1))
-        inside = inside.filter("NOT out OR ob != my_ob").drop("out", "my_ob")
-        cells = outside.unionByName(inside).repartition("gram", "ob", "mb").sortWithinPartitions("gram", "ob", "mb")
-        found = found.unionByName(cells.mapInArrow(_blocks(p), "a long, b long"))
-    out = table(found.distinct(), "ngram-candidates")
-    drop(sizes)
-    return out
+        found = found.unionByName(_of_many(placed, many, p, False))
+    links = verified(found.distinct().join(tried, ["a", "b"], "left_anti"), nodes, texts, p)
+    comps = components(comps.unionByName(links))
+    drop(placed, sizes)
+    return comps
 
 
 def joined(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
@@ -425,14 +463,13 @@ def joined(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     stars = table(stars.join(known, ["lo", "hi"], "left_anti").select("a", "b"), "ngram-tried")
     comps = components(comps.unionByName(verified(stars, nodes, texts, p)))
 
-    placed = table(_with_component(met.drop("least", "drawn"), comps, "node", "own"), "ngram-placed")
-    once = tried.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    comps = components(comps.unionByName(verified(candidates(placed, p).join(once, ["a", "b"], "left_anti"), nodes, texts, p)))
+    once = table(tried.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "ngram-tried")
+    comps = _settled(met.drop("least", "drawn"), comps, once, nodes, texts, p)
 
     named = _with_component(nodes.select("digest", "doc_id", "node"), comps, "node", "own")
     least = named.groupBy("own").agg(F.min("doc_id").alias("component"))
     named = table(named.join(least, "own").select(F.col("digest").alias("_digest"), "component"), "ngram-named")
-    drop(prefix, nodes, met, placed, tried, stars, comps)
+    drop(prefix, nodes, met, tried, stars, once, comps)
     out = rows.join(named, F.col("digest") == F.col("_digest"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
