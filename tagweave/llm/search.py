@@ -15,7 +15,7 @@ there are more candidates is looked up in all lists without any test.  The score
 vectors in double precision.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part.  Vectors of different lengths are
-not compared: each length has an index of its own, lengths of at most ``exact_rows`` vectors are compared exactly.
+not compared: each length has an index of its own; of a length of at most k + 1 vectors all are answers, so they are only scored.
 Of rows with one and the same vector only the k + 1 of the least ids can be answers, so no more are indexed.  Rows of one
 vec_id are never each other's answers; repeated equal rows count once.  Ties go to the smaller vec_id.  Lists are cut into blocks
 of about ``block_rows``.  An empty table, or one usable vector, gives no rows.  Columns other than vec_id and embedding
@@ -43,7 +43,6 @@ class SearchParams:
     most_lists: int = 4096
     recall: float = 0.97
     trial: int = 256  # queries whose true neighbours are looked up to measure the reach
-    exact_rows: int = 2000  # vectors of one length up to which all are compared
     columns: int = 16
     epsilon: float = 2.1
     block_rows: int = 4096
@@ -146,8 +145,8 @@ def _first_of_each(rows: DataFrame, keep: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(whole)).filter(F.col("_n") <= keep).drop("_n")
 
 
-def _exact(kept: DataFrame, queries: DataFrame, p: SearchParams) -> DataFrame:
-    """Neighbours among the few vectors of each length, queries in blocks."""
+def _scored(kept: DataFrame, queries: DataFrame, p: SearchParams) -> DataFrame:
+    """Scores of the at most k + 1 vectors of each length, queries in blocks."""
     here = kept.select(F.size("v").alias("d"), "vec_id", "v")
     asked = queries.select(F.size("v").alias("d"), F.pmod(F.xxhash64("vec_id"), F.lit(16)).alias("part"), F.col("vec_id").alias("query_id"), "v")
     cells = here.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("part", F.col("part").cast("long"))
@@ -280,9 +279,9 @@ def nearest(df: DataFrame, is_query: Column, p: SearchParams = SearchParams()) -
     rows = table(usable(df), "ann-rows")
     kept = table(_first_of_each(rows, p.k + 1), "ann-kept")
     sizes = dict(map(tuple, kept.groupBy(F.size("v")).count().collect()))  # one number for each length
-    large = sorted(d for d, n in sizes.items() if n > p.exact_rows)
+    large = sorted(d for d, n in sizes.items() if n > p.k + 1)
     few = ~F.size("v").isin(large)
-    near = _exact(kept.filter(few), rows.filter(is_query).filter(few), p)
+    near = _scored(kept.filter(few), rows.filter(is_query).filter(few), p)
     for d in large:
         own = F.size("v") == d
         near = near.unionByName(_by_index(kept.filter(own), rows.filter(is_query).filter(own), sizes[d], p))

@@ -48,7 +48,7 @@ def test_none_and_few(spark):
     assert search.nearest(frame(spark, [(0, [1.0, 0.0]), (1, [1e300, 1e300])]), F.lit(True)).count() == 2
 
 
-SMALL = search.SearchParams(block_rows=64, query_rows=16, exact_rows=0)
+SMALL = search.SearchParams(block_rows=64, query_rows=16)
 
 
 @pytest.mark.parametrize(("n", "dim"), [(1, 64), (2, 384), (3, 2), (6, 384), (40, 384)])
@@ -82,6 +82,24 @@ def test_recall(spark, dim):
     assert len(out) == 5 * len(want) and hits / len(out) >= 0.93
 
 
+def test_small_tables_go_through_the_index(spark, monkeypatch):
+    """Every length of more than k + 1 vectors has an index, and what it finds is nearly all."""
+    made = []
+
+    class Seen(search.Index):
+        def __init__(self, kept, queries, n, p):
+            made.append(n)
+            super().__init__(kept, queries, n, p)
+
+    monkeypatch.setattr(search, "Index", Seen)
+    rng = np.random.default_rng(5)
+    vectors = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 32)))]
+    out = search.nearest(frame(spark, vectors + [(1000 + i, [1.0 + i, 2.0]) for i in range(6)]), F.col("vec_id") % 10 == 0).collect()
+    want = brute(vectors, lambda i: i % 10 == 0, 5)
+    hits = sum(r.vec_id in {j for j, _ in want[r.query_id]} for r in out if r.query_id < 1000)
+    assert made == [300] and hits / (5 * len(want)) >= 0.93 and sum(r.query_id == 1000 for r in out) == 5
+
+
 def test_scan_drops_but_keeps_the_nearest():
     rng = np.random.default_rng(1)
     x = search.unit(rng.standard_normal((2000, 64)))
