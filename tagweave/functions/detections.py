@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagweave.functions.tags import let
+
 # Fixed values of the detector: per grid (cells a side, stride, xy scale, anchors).
 GRIDS = (
     (52, 8, 1.2, ((12.0, 16.0), (19.0, 36.0), (40.0, 28.0))),
@@ -69,6 +73,38 @@ def decoded(cell: Column, width: Column, height: Column, threshold: float = 0.5)
     return F.when((score > threshold) & (x1 <= x2) & (y1 <= y2), box)
 
 
+PER_ANCHOR = 85  # four of the box, the confidence, 80 classes
+
+
+def _grid_boxes(grid: int, values: Column, width: Column, height: Column, threshold: float, most: float) -> Column:
+    side = GRIDS[grid][0]
+    at = lambda i, k: F.element_at(values, i * PER_ANCHOR + (k + 1)).cast("double")
+
+    def box(i: Column) -> Column:
+        cell = F.struct(
+            F.lit(grid).alias("grid"), F.floor(i / (3 * side)).alias("row"), (F.floor(i / 3) % side).alias("col"), (i % 3).alias("anchor"), *[at(i, k).alias(n) for k, n in enumerate(("dx", "dy", "dw", "dh", "conf"))],
+            F.transform(F.slice(values, i * PER_ANCHOR + 6, PER_ANCHOR - 5), lambda x: x.cast("double")).alias("classes"),
+        )
+        return let(cell, lambda c: let(decoded(c, width, height, threshold), lambda b: F.when(b.isNotNull(), F.struct(c["grid"].alias("grid"), i.alias("anchor"), *[b[n].alias(n) for n in ("x1", "y1", "x2", "y2", "score", "class")]))))
+
+    hopeful = F.filter(F.sequence(F.lit(0), F.lit(side * side * 3 - 1)), lambda i: at(i, 4) * most > threshold)
+    return F.filter(F.transform(hopeful, box), lambda b: b.isNotNull())
+
+
+def grid_boxes(grids: Sequence[Column], width: Column, height: Column, threshold: float = 0.5, most: float = 1.0) -> Column:
+    """Boxes of all anchors of the three flat grids (cells by rows, 3 anchors each, 85 values): grid, anchor (its place in the grid), x1, y1, x2, y2, score, class.
+
+    No class is scored above ``most``, so an anchor whose confidence is too low for that is passed over by one look; only others are decoded."""
+    if len(grids) != len(GRIDS):
+        raise ValueError("three grids are needed")
+    return F.concat(*[_grid_boxes(k, g, width, height, threshold, most) for k, g in enumerate(grids)])
+
+
+def found(grids: Sequence[Column], width: Column, height: Column, kind: int = 0, threshold: float = 0.5, overlap: float = 0.35) -> Column:
+    """Boxes of one class after greedy suppression, best first."""
+    return suppressed(by_score(F.filter(grid_boxes(grids, width, height, threshold), lambda b: b["class"] == kind)), overlap)
+
+
 def first_best(values: Column) -> Column:
     """Place (from 0) of the first maximum."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")

@@ -83,5 +83,5 @@ def selects_simple(text: Column, query: str, extension: str = ".txt") -> Column:
 
 def matches(text: Column, tags: tuple[str, ...]) -> Column:
     """All spans of the given tags in the text, for highlighting, tag by tag."""
-    found = [F.regexp_extract_all(text, F.lit(r"(?iuU)(\b\Q" + t + r"\E\b)"), F.lit(1)) for t in tags if t]
+    found = [F.regexp_extract_all(text, F.lit(r"(?iuU)(\b\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E\b)"), F.lit(1)) for t in tags if t]
     return F.concat(*found) if found else literals(())

@@ -28,7 +28,7 @@ def _half(v: Column) -> Column:
 
 
 def crop_window(box: Column, width: Column, height: Column, expansion: float, target: int) -> Column:
-    """Window around a detection, in its own aspect, and the size that it is resized to."""
+    """Window around a detection, in its own aspect, and the size that it is resized to; null for a box of less than a pixel a side."""
     if expansion < 1:
         raise ValueError("the expansion must be at least 1")
     cx, cy = ((box["x1"] + box["x2"]) / 2).cast("int"), ((box["y1"] + box["y2"]) / 2).cast("int")
@@ -36,13 +36,13 @@ def crop_window(box: Column, width: Column, height: Column, expansion: float, ta
     sw, sh = (w * expansion).cast("int"), (h * expansion).cast("int")
     cw = F.least(width, cx + _half(sw)) - F.greatest(F.lit(0), cx - _half(sw))
     ch = F.least(height, cy + _half(sh)) - F.greatest(F.lit(0), cy - _half(sh))
-    aspect = w.cast("double") / h
-    new_h = F.when(aspect < 1.0, (cw / aspect).cast("int")).otherwise(ch)
+    aspect = F.try_divide(w.cast("double"), h)
+    new_h = F.when(aspect < 1.0, F.try_divide(cw, aspect).cast("int")).otherwise(ch)
     new_w = F.when(aspect < 1.0, cw).otherwise((ch * aspect).cast("int"))
     x, y = F.greatest(F.lit(0), cx - _half(new_w)), F.greatest(F.lit(0), cy - _half(new_h))
     fw, fh = F.least(new_w, width - x), F.least(new_h, height - y)
-    factor = F.least(F.lit(float(target)) / fw, F.lit(float(target)) / fh)
-    return F.struct(x.alias("x"), y.alias("y"), fw.alias("w"), fh.alias("h"), (fw * factor).cast("int").alias("out_w"), (fh * factor).cast("int").alias("out_h"))
+    factor = F.least(F.try_divide(F.lit(float(target)), fw), F.try_divide(F.lit(float(target)), fh))
+    return F.when((w > 0) & (h > 0) & (fw > 0) & (fh > 0), F.struct(x.alias("x"), y.alias("y"), fw.alias("w"), fh.alias("h"), (fw * factor).cast("int").alias("out_w"), (fh * factor).cast("int").alias("out_h")))
 
 
 def manual_crop(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:

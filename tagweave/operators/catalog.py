@@ -17,7 +17,7 @@ from tagweave.functions import bpe, detections, filterql, geometry, loctokens, p
 from tagweave.operators import models, redundancy, views
 from tagweave.operators.views import FILES, IMAGE_SIZES, ORDER_BOXES, ORDER_TAGS, PROMPT_RAW, TOKEN_TEXT, read
 from tagweave.plans.numbering import numbered
-from tagweave.plans.storage import shared_dir, table
+from tagweave.plans.storage import shared_dir, table, tasks_for
 from tagweave.sources import files
 from tagweave.streaming import edits, frequency
 
@@ -415,6 +415,41 @@ def yolo_decode(spark, d):
     return b.select("vec_id", *[F.round(f"b.{c}", 6).alias(c) for c in ("x1", "y1", "x2", "y2", "score")], "b.class")
 
 
+def _noise(k: str, grid: str, int_div: str) -> str:
+    """A number from 0 to 1 for a value's place in a supplier's grid, in both dialects."""
+    return f"(((s_suppkey * 7919 + (cast({k} AS bigint) + {grid} * 1000003) * 104729) % 1000003) / {int_div})"
+
+
+_POWER = " * ".join(["{0}"] * 16)
+_YOLO_SQL = f"""WITH t AS (SELECT * FROM (VALUES (0, 52, 8.0::DOUBLE, 1.2::DOUBLE, [12, 19, 40], [16, 36, 28]), (1, 26, 16.0, 1.1, [36, 76, 72], [75, 55, 146]), (2, 13, 32.0, 1.05, [142, 192, 459], [110, 243, 401])) v(grid, side, stride, scale, aw, ah)),
+a AS (SELECT grid, side, stride, scale, aw, ah, unnest(range(side * side * 3)) AS i FROM t),
+c AS (SELECT *, {_noise("i * 85 + 4", "grid", "1000003.0::DOUBLE")} AS u, 640 + s_suppkey % 7 * 40 AS w, 480 AS h FROM supplier, a),
+p AS (SELECT *, {_POWER.format("u")} AS conf, least(416 / w::DOUBLE, 416 / h::DOUBLE) AS ratio FROM c WHERE {_POWER.format("u")} > 0.5),
+n AS (SELECT *, list_transform(range(85), lambda k: {_noise("i * 85 + k", "grid", "1000003.0::DOUBLE")}) AS e FROM p),
+d AS (SELECT *, e[6:] AS classes, (1 / (1 + exp(-(e[1] * 4 - 2))) * scale - 0.5 * (scale - 1) + (i // 3) % side) * stride AS cx, (1 / (1 + exp(-(e[2] * 4 - 2))) * scale - 0.5 * (scale - 1) + i // (3 * side)) * stride AS cy,
+ exp(e[3] * 2 - 1) * aw[i % 3 + 1] AS bw, exp(e[4] * 2 - 1) * ah[i % 3 + 1] AS bh, (416 - w * ratio) / 2 AS px, (416 - h * ratio) / 2 AS py FROM n),
+b AS (SELECT *, list_max(classes) * conf AS score, (list_position(classes, list_max(classes)) - 1)::INTEGER AS class, greatest((cx - bw / 2 - px) / ratio, 0) AS x1, greatest((cy - bh / 2 - py) / ratio, 0) AS y1,
+ least((cx + bw / 2 - px) / ratio, w - 1) AS x2, least((cy + bh / 2 - py) / ratio, h - 1) AS y2 FROM d)
+SELECT s_suppkey AS id, grid::INTEGER AS grid, i::INTEGER AS anchor, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(score, 6) AS score, class FROM b WHERE score > 0.5 AND x1 <= x2 AND y1 <= y2"""
+
+
+@query("yolo_grids", _YOLO_SQL)
+def yolo_grids(spark, d):
+    """All 10,647 anchors of an image for each supplier, whose three flat grids are numbers that follow from its key."""
+    rows = read(spark, d, "supplier").select("s_suppkey").repartition(8 * tasks_for(spark), "s_suppkey")  # a row is 7 MB
+    for grid, (side, *_) in enumerate(detections.GRIDS):
+        u = _noise("k", str(grid), "1000003D")
+        value = f"CASE k % 85 WHEN 4 THEN {_let_sql(u, 'u', _POWER.format('u'))} WHEN 0 THEN {u} * 4 - 2 WHEN 1 THEN {u} * 4 - 2 WHEN 2 THEN {u} * 2 - 1 WHEN 3 THEN {u} * 2 - 1 ELSE {u} END"
+        rows = rows.withColumn(f"g{grid}", F.expr(f"transform(sequence(0, {side * side * 3 * 85 - 1}), k -> {value})"))
+    w, h = 640 + F.col("s_suppkey") % 7 * 40, F.lit(480)
+    boxes = rows.select(F.col("s_suppkey").alias("id"), F.explode(detections.grid_boxes([F.col(f"g{k}") for k in range(3)], w.cast("double"), h.cast("double"))).alias("b"))
+    return boxes.select("id", "b.grid", "b.anchor", *[F.round(f"b.{c}", 6).alias(c) for c in ("x1", "y1", "x2", "y2", "score")], "b.class")
+
+
+def _let_sql(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def scores_sigmoid(x):
     return 1.0 / (1.0 + F.exp(-x))
 

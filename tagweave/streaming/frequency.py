@@ -25,8 +25,15 @@ def run_available(spark: SparkSession, folder: str, schema, text, name: str | No
     source = spark.readStream.schema(schema).parquet(folder).select(text.alias("text"))
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/result")
+        batch.write.mode("overwrite").parquet(f"{base}/result/{number}")
 
     query = counts(source, "text").writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{base}/result")
+    # a table of its own for every batch, so that one which breaks off costs nothing; the last complete one counts
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/result").getFileSystem(spark._jsc.hadoopConfiguration())
+    numbers = [int(s.getPath().getName()) for s in files.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/result"))]
+    complete = [n for n in numbers if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/result/{n}/_SUCCESS"))]
+    for n in numbers:
+        if n < max(complete):
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/result/{n}"), True)
+    return spark.read.parquet(f"{base}/result/{max(complete)}")
