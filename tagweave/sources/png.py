@@ -69,6 +69,35 @@ def decoded(data: bytes | None) -> np.ndarray | None:
     return image if channels > 2 else np.concatenate([image[:, :, :1]] * 3 + [image[:, :, 1:]], axis=2)
 
 
+def strips(data: bytes | None, lines: int):
+    """(top, lines x width x 3 or 4, width, height) of a plain 8-bit colour PNG, unpacked line by line; nothing for any other file."""
+    if not data or not data.startswith(SIGNATURE):
+        return
+    head, unpack, left, above, held, top = None, zlib.decompressobj(), b"", None, [], 0
+    for kind, body in _chunks(data):
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+            if head[2] != 8 or head[6] or head[3] not in (2, 6):
+                return
+            w, h, channels = head[0], head[1], CHANNELS[head[3]]
+            above = np.zeros(w * channels, np.uint8)
+        elif kind == b"IDAT" and head is not None:
+            while body:
+                left += unpack.decompress(body, 1 << 20)
+                body = unpack.unconsumed_tail
+                size, at = 1 + w * channels, 0
+                while len(left) - at >= size:
+                    above = _unfiltered(left[at], np.frombuffer(left, np.uint8, size - 1, at + 1), above, channels)
+                    held.append(above)
+                    at += size
+                    if len(held) == lines:
+                        yield top, np.stack(held).reshape(-1, w, channels), w, h
+                        top, held = top + lines, []
+                left = left[at:]
+    if held:
+        yield top, np.stack(held).reshape(-1, w, channels), w, h
+
+
 def encoded(image: np.ndarray) -> bytes:
     """An array of 1, 3 or 4 channels as a PNG file."""
     image = np.asarray(image, np.uint8)
