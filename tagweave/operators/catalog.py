@@ -532,11 +532,23 @@ def loc_labelled_polygons(spark, d):
     return p.select("id", "p.label", F.array_join(F.flatten(F.transform("p.points", lambda q: F.array(q["x"].cast("string"), q["y"].cast("string")))), ",").alias("points"))
 
 
-@query("loc_dispatch", "SELECT * FROM (VALUES " + ", ".join(f"('{t[0]}', {str(t[6] and t[7] and not t[8]).lower()}, {str(t[6] and t[7] and t[8]).lower()}, {str(not t[6] and t[8]).lower()})" for t in loctokens.TASKS) + ") x(task, has_boxes, has_quads, has_polygon)")
+_TASK_ROWS = ", ".join(f"({i}, '{t[0]}', {str(t[6] and t[7] and not t[8]).lower()}, {str(t[6] and t[7] and t[8]).lower()}, {str(t[6] and not t[7] and t[8]).lower()}, {str(not t[6] and t[8]).lower()}, {str(t[5]).lower()})" for i, t in enumerate(loctokens.TASKS))
+
+
+@query(
+    "loc_dispatch",
+    f"""WITH {TOKEN_TEXT}, k AS (SELECT * FROM (VALUES {_TASK_ROWS}) x(n, task, b, q, lp, p, t))
+SELECT id, task, b AS has_boxes, q AS has_quads, lp AS has_labelled, p AS has_polygon, CASE WHEN t AND NOT (b OR q OR lp OR p) THEN text END AS text, CASE WHEN p THEN len(regexp_extract_all(text, '<loc_')) // 2 ELSE 0 END::INTEGER AS points FROM tt JOIN k ON id % {len(loctokens.TASKS)} = n""",
+)
 def loc_dispatch(spark, d):
+    """Every text is read as the answer to one of the tasks, by its flags."""
     t = loctokens.tasks(spark).withColumn("task_row", F.struct("labels", "boxes", "polygons", "text"))
-    p = t.select("task", loctokens.parsed(F.lit("a<loc_1><loc_2><loc_3><loc_4><loc_5><loc_6><loc_7><loc_8>"), F.lit(640), F.lit(480), F.col("task_row")).alias("p"))
-    return p.select("task", F.isnotnull("p.boxes").alias("has_boxes"), F.isnotnull("p.quads").alias("has_quads"), F.isnotnull("p.polygon").alias("has_polygon"))
+    numbers = F.create_map(*[F.lit(x) for i, row in enumerate(loctokens.TASKS) for x in (row[0], i)])
+    texts = views.token_text(spark, d).withColumn("n", (F.col("id") % len(loctokens.TASKS)).cast("int"))
+    p = texts.withColumnRenamed("text", "answer").join(F.broadcast(t.withColumn("n", numbers[F.col("task")])), "n")
+    p = p.select("id", "task", loctokens.parsed(F.col("answer"), F.lit(640), F.lit(480), F.col("task_row")).alias("p"))
+    has = [F.isnotnull(f"p.{c}").alias(f"has_{c}") for c in ("boxes", "quads", "labelled", "polygon")]
+    return p.select("id", "task", *has, F.col("p.text").alias("text"), F.when(F.isnotnull("p.polygon"), F.size("p.polygon")).otherwise(0).alias("points"))
 
 
 @query("loc_zip", rf"""WITH {TOKEN_TEXT}, r AS (SELECT id, unnest(regexp_extract_all(text, '(\w+(?:<loc_\d+><loc_\d+><loc_\d+><loc_\d+>)+)', 1)) AS run, generate_subscripts(regexp_extract_all(text, '(\w+(?:<loc_\d+><loc_\d+><loc_\d+><loc_\d+>)+)', 1), 1) AS nr FROM tt),
