@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -48,3 +49,40 @@ def test_stages_against_plain_versions(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 50 and set(out.columns) == {"doc_id", "piece", "start", "n_tokens", "bin_id", "bin_length", "offset"}
+
+
+@pytest.fixture(scope="module")
+def labels_dir(spark, docs, tmp_path_factory):
+    """Labels of the edge rows, with null labels and a column that clashes."""
+    folder = tmp_path_factory.mktemp("labels")
+    rows = [(r.doc_id, r.doc_id % 2, None if r.doc_id % 5 == 0 else 0, "t") for r in docs.select("doc_id").distinct().collect() if r.doc_id is not None]
+    spark.createDataFrame([*rows, (None, 1, 1, "t"), (1, None, 0, "t")], "doc_id long, quality int, toxic int, text string").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_edge_rows(spark, docs, no_docs, labels_dir, name):
+    """Null, empty and very long texts, ties, repeated rows, null labels and clashing columns; and an empty table."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, labels_dir)
+    rows = out.collect()
+    if name == "packing":
+        got = Counter()
+        for r in rows:
+            got[r.doc_id] += r.n_tokens
+        want = Counter()
+        for r in docs.collect():
+            want[r.doc_id] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        assert got == +want
+    else:
+        assert out.columns == docs.columns
+        assert {(r.score, r._key, r._row, r.n_words) for r in rows} == {("s", "k", "r", "w")}  # clashing columns are carried on
+        kept = Counter(r.doc_id for r in rows)
+        every = Counter(r.doc_id for r in docs.collect())
+        assert kept and set(kept) <= set(every)
+        if name in ("quality", "neardup"):
+            assert kept <= every
+        if name == "substrings":
+            assert kept == every and all(r.n_chars == len(r.text) for r in rows)
+    none = stage(spark, no_docs, labels_dir)
+    assert none.count() == 0 and (name == "packing" or none.columns == docs.columns)
