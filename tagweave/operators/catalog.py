@@ -746,8 +746,9 @@ def stub_autotag(spark, d):
     return models.tagged(models.scored(pages, "content", "stub", _Stub), names, threshold=0.4).select("page_id", F.col("tag_text").alias("tags"))
 
 
-AUTO_NAMES = ("red_plate", "plate", "bolt", "blue_box", "light_blue_box", "ring", "old_ring", "nut")
-_AUTO = f"""sc AS (SELECT vec_id AS k, unnest(embedding[1:8]) AS s, unnest(range(1, 9)) AS i FROM embeddings),
+_NOUNS = ("plate", "bolt", "box", "ring", "nut", "washer", "screw")
+AUTO_NAMES = (*_NOUNS, "gear", *(f"{a}_{b}" for a in ("red", "blue", "light_blue", "old", "small", "brass", "steel", "round") for b in _NOUNS))  # one for each component
+_AUTO = f"""sc AS (SELECT vec_id AS k, unnest(embedding) AS s, unnest(range(1, 65)) AS i FROM embeddings),
 lb AS (SELECT k, string_agg(replace(([{_q(AUTO_NAMES)}])[i], '_', ' '), ', ' ORDER BY s DESC, i) AS text FROM sc WHERE s > 0.05::FLOAT GROUP BY k),
 au AS (SELECT vec_id AS k, coalesce(text, '') AS text, CASE WHEN vec_id % 3 = 0 THEN 'old_plate, ring' WHEN vec_id % 3 = 1 THEN '' END AS existing FROM embeddings LEFT JOIN lb ON k = vec_id)"""
 
@@ -759,7 +760,7 @@ def _auto_sql(text: str) -> str:
 
 def _auto_tagged(spark, d, mode: str) -> DataFrame:
     existing = F.when(F.col("vec_id") % 3 == 0, "old_plate, ring").when(F.col("vec_id") % 3 == 1, "")
-    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("k"), F.slice("embedding", 1, 8).alias("scores"), existing.alias("existing"))
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("k"), F.col("embedding").alias("scores"), existing.alias("existing"))
     return models.tagged(rows, tags.literals(list(AUTO_NAMES)), "existing", threshold=0.05, mode=mode).select("k", F.col("tag_text").alias("tags"))
 
 
