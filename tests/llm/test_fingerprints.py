@@ -1,11 +1,56 @@
 from __future__ import annotations
 
+import base64
 import random
 from hashlib import sha256
 
+import xxhash
+
 from tagweave.llm import fingerprints as fp
 
 
+def plain_cuts(data, p):
+    """Byte after byte: the hash of the 32 bytes before every place, and the first place that may be a cut."""
+    out, at = [], 0
+    while at < len(data):
+        top = min(at + p.most, len(data))
+        to = len(data) if len(data) - at <= p.least else top
+        for end in range(at + p.least, top):
+            h = 0
+            for b in data[max(0, end - 32) : end]:
+                h = (2 * h + int(fp._GEAR[b])) % 2**32
+            if h < 2 ** (32 - (p.strict_bits if end - at < p.target else p.loose_bits)):
+                to = end
+                break
+        out.append(to)
+        at = to
+    return out
+
+
+def plain_set(data, p=fp.ChunkParams()):
+    """(digest, length) of every chunk."""
+    ends = plain_cuts(data, p)
+    return {(xxhash.xxh3_64_hexdigest(data[a:b])[:12], b - a) for a, b in zip([0, *ends], ends)}
+
+
+def plain_text(chunks):
+    return base64.b64encode(b"".join(bytes.fromhex(d) + n.to_bytes(2, "big") for d, n in sorted(chunks))).decode()
+
+
+def plain_likeness(a, b):
+    whole = sum(n for _, n in a)
+    return sum(n for c, n in a if (c, n) in b) / whole if whole else float(not b)
+
+
+def test_cuts_byte_by_byte():
+    rng = random.Random(4)
+    for k in range(60):
+        data = bytes(rng.choice(b"abc \n") if k % 2 else rng.randrange(256) for _ in range(rng.choice([0, 1, 31, 32, 33, 95, 96, 97, 511, 512, 513, 1500])))
+        for p in (fp.ChunkParams(), fp.ChunkParams(least=32, target=48, most=64, strict_bits=5, loose_bits=2)):
+            assert fp.cuts(data, p) == plain_cuts(data, p)
+    assert fp.cuts(b"a" * 3000) == plain_cuts(b"a" * 3000, fp.ChunkParams())
+
+
 def brute(rows):
     order = sorted(((i if i is not None else -(1 << 63)), t or "", i) for i, t, *_ in rows)
     order.sort(key=lambda x: (-x[0], x[1]))
@@ -14,8 +59,8 @@ def brute(rows):
         after = order[(n + 1) % len(order)][1]
         cut = len(text) // 2
         edited = text[: len(text) - cut] + after[:cut]
-        sets = [fp.entries(t.encode()) for t in (text, edited, after)]
-        out.append((doc, len(text), sha256(edited.encode()).hexdigest(), fp.encoded(sets[0]), fp.encoded(sets[1]), fp.containment(sets[0], sets[1]), fp.containment(sets[0], sets[2])))
+        sets = [plain_set(t.encode()) if len(t) < 20_000 else {(f"{e >> 16:012x}", e & 0xFFFF) for e in fp.entries(t.encode())} for t in (text, edited, after)]
+        out.append((doc, len(text), sha256(edited.encode()).hexdigest(), plain_text(sets[0]), plain_text(sets[1]), plain_likeness(sets[0], sets[1]), plain_likeness(sets[0], sets[2])))
     return out
 
 
