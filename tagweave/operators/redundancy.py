@@ -49,7 +49,8 @@ def redundancy_removed(texts: DataFrame, key: str, column: str) -> DataFrame:
 
     The texts are read twice, once for their distinct tags.  Null texts stay null.  A tag in a third of all rows meets its one description by a join that is split or broadcast."""
     parsed = texts.select(key, F.posexplode_outer(tags.parse(F.col(column))).alias("_pos", "tag"))
-    facts = table(described(parsed.select("tag").filter("tag IS NOT NULL").distinct()), "tag-facts")
+    vocabulary = table(parsed.select("tag").filter("tag IS NOT NULL").distinct(), "tags")
+    facts = table(described(vocabulary), "tag-facts")
     rows = parsed.join(facts, "tag", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", F.col("tag").alias("t"), "c", "inner"))).alias("_x"))
     related = "transform(_x, x -> named_struct('t', x.t, 'c', x.c, 'r', transform(filter(_x, y -> array_contains(x.inner, y.t) OR array_contains(y.inner, x.t)), y -> y.t)))"
     kept = tags.join(F.expr(f"transform(array({related}), rows -> {tags.fold_sql('rows')})[0]"))
