@@ -69,6 +69,24 @@ def test_too_late_edits_change_nothing(spark, tmp_path):
     assert got(edits.run_available(spark, stream(spark, tmp_path), base)) == {("a", s(0), "first"), ("a", s(10), "second"), ("b", s(20), "b")}
 
 
+def test_many_paths_and_times(spark, tmp_path):
+    """Work is done for sessions and not by a call for every edit and timer: 4000 edits of 200 paths in one batch."""
+    rng = random.Random(8)
+    rows = [(f"{rng.randrange(200)}.txt", START + timedelta(milliseconds=rng.randrange(20_000)), k, f"{k}") for k in range(4000)]
+    write(spark, tmp_path, rows, 1)
+    out = edits.run_available(spark, stream(spark, tmp_path), str(tmp_path / "state"))
+    assert got(out) == plain(rows, 500, 2000)
+    assert "TransformWithState" not in stream(spark, tmp_path)._jdf.queryExecution().analyzed().toString()
+
+
+def test_no_quiet(spark, tmp_path):
+    rows = [("a", START + timedelta(seconds=x), x, str(x)) for x in (1, 1, 2, 9)]
+    write(spark, tmp_path, rows, 1)
+    found = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    out = edits.debounced(found, F.col("name"), F.col("at"), F.col("seq"), F.col("text"), 0, "2 seconds")
+    assert got(edits.run_available(spark, out, str(tmp_path / "state"))) == {("a", rows[0][1], "1"), ("a", rows[2][1], "2")}
+
+
 def test_superseded_edits_still_supersede():
     """One that is followed goes on counting for those before it, though they come later."""
     first = edits.followed([(600, 1, "x", False), (1000, 2, "y", False)], 500)
