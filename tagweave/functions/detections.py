@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,17 +73,23 @@ def decoded(cell: Column, width: Column, height: Column, threshold: float = 0.5)
     return F.when((score > threshold) & (x1 <= x2) & (y1 <= y2), box)
 
 
+Values = Callable[[Column, int], Column]
 PER_ANCHOR = 85  # four of the box, the confidence, 80 classes
 
 
-def _grid_boxes(grid: int, values: Column, width: Column, height: Column, threshold: float, most: float) -> Column:
+def _grid_boxes(grid: int, values: Column | Values, width: Column, height: Column, threshold: float, most: float) -> Column:
     side = GRIDS[grid][0]
-    at = lambda i, k: F.element_at(values, i * PER_ANCHOR + (k + 1)).cast("double")
+    if isinstance(values, Column):
+        at = lambda i, k: F.element_at(values, i * PER_ANCHOR + (k + 1)).cast("double")
+        classes = lambda i: F.transform(F.slice(values, i * PER_ANCHOR + 6, PER_ANCHOR - 5), lambda x: x.cast("double"))
+    else:
+        at = values
+        classes = lambda i: F.array(*[values(i, k) for k in range(5, PER_ANCHOR)])
 
     def box(i: Column) -> Column:
         cell = F.struct(
             F.lit(grid).alias("grid"), F.floor(i / (3 * side)).alias("row"), (F.floor(i / 3) % side).alias("col"), (i % 3).alias("anchor"), *[at(i, k).alias(n) for k, n in enumerate(("dx", "dy", "dw", "dh", "conf"))],
-            F.transform(F.slice(values, i * PER_ANCHOR + 6, PER_ANCHOR - 5), lambda x: x.cast("double")).alias("classes"),
+            classes(i).alias("classes"),
         )
         return let(cell, lambda c: let(decoded(c, width, height, threshold), lambda b: F.when(b.isNotNull(), F.struct(c["grid"].alias("grid"), i.alias("anchor"), *[b[n].alias(n) for n in ("x1", "y1", "x2", "y2", "score", "class")]))))
 
@@ -91,10 +97,11 @@ def _grid_boxes(grid: int, values: Column, width: Column, height: Column, thresh
     return F.filter(F.transform(hopeful, box), lambda b: b.isNotNull())
 
 
-def grid_boxes(grids: Sequence[Column], width: Column, height: Column, threshold: float = 0.5, most: float = 1.0) -> Column:
+def grid_boxes(grids: Sequence[Column | Values], width: Column, height: Column, threshold: float = 0.5, most: float = 1.0) -> Column:
     """Boxes of all anchors of the three flat grids (cells by rows, 3 anchors each, 85 values): grid, anchor (its place in the grid), x1, y1, x2, y2, score, class.
 
-    No class is scored above ``most``, so an anchor whose confidence is too low for that is passed over by one look; only others are decoded."""
+    No class is scored above ``most``, so an anchor whose confidence is too low for that is passed over by one look; only others are decoded.
+    A grid is an array, or a function that gives the value of an anchor's place and a number from 0 to 84; then only values that are looked at are computed."""
     if len(grids) != len(GRIDS):
         raise ValueError("three grids are needed")
     return F.concat(*[_grid_boxes(k, g, width, height, threshold, most) for k, g in enumerate(grids)])

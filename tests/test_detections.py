@@ -94,3 +94,15 @@ def test_confidence_is_looked_at_first(spark):
     assert df.select(F.size(detections.grid_boxes([F.col(f"g{k}") for k in range(3)], F.col("w"), F.col("h"))).alias("n")).first().n == 0
     with pytest.raises(ValueError, match="three"):
         detections.grid_boxes([F.col("g0")], F.col("w"), F.col("h"))
+
+
+def test_grids_of_functions(spark):
+    """Values that are computed where they are looked at give the boxes of whole arrays."""
+    from tagweave.functions import detections as d
+
+    value = lambda i, k: ((i.cast("long") * 85 + k) * 7919 % 1009) / F.lit(1009.0)
+    arrays = [F.transform(F.sequence(F.lit(0), F.lit(g[0] * g[0] * 3 * 85 - 1)), lambda j: (j.cast("long") * 7919 % 1009) / F.lit(1009.0)) for g in d.GRIDS]
+    whole = spark.range(1).select(*[a.alias(f"g{k}") for k, a in enumerate(arrays)]).cache()
+    one = whole.select(d.grid_boxes([F.col(f"g{k}") for k in range(3)], F.lit(800.0), F.lit(480.0), 0.9).alias("b")).first().b
+    two = spark.range(1).select(d.grid_boxes([value] * 3, F.lit(800.0), F.lit(480.0), 0.9).alias("b")).first().b
+    assert one == two and len(one) > 10
