@@ -12,6 +12,7 @@ Two words are near if they differ by exactly one inserted, deleted or replaced c
 4. Forms: the most frequent near word of each word, if it is ``ratio`` times as frequent; roots by doubling the steps along forms.
 
 Words are maximal runs of ``[A-Za-z\\u00C0-\\u00FF]`` with A-Z lower-cased, taken from whole texts; some runs lose a code point as the caller's ``edit`` says.
+Tables of words are joined by shuffles (merge hints): files of a few MB, which Spark would broadcast through the driver, hold millions of words.
 Null and empty texts have no words; a null doc_id counts as an empty one in the edit.  Runs of any length are whole words.  Equal rows count each.  Ties between forms go to the
 smallest word in code-point order.  An empty table gives an empty result.  Of columns only doc_id and text are read, so clashing names do no harm.
 """
@@ -93,7 +94,7 @@ def meetings(words: DataFrame, p: SpellingParams = SpellingParams()) -> DataFram
     while True:
         sizes = now.groupBy("key").agg(F.count("*").alias("c"), F.count_if("pattern").alias("patterns"))
         sizes = sizes.filter("c > 2 AND patterns > 0")  # a word alone meets itself only
-        sized = table(now.join(sizes.select("key", "c"), "key").select("word", "n", "pattern", "whole", "lo", "hi", "key", "c"), "spelling-met")
+        sized = table(now.join(sizes.select("key", "c").hint("merge"), "key").select("word", "n", "pattern", "whole", "lo", "hi", "key", "c"), "spelling-met")
         split = (F.col("c") > p.rows) & (F.col("hi") - F.col("lo") > 1)
         done = sized.filter(~split).drop("c")
         ready = done if ready is None else ready.unionByName(done)
@@ -226,7 +227,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     now = table(forms.select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), "spelling-roots")
     while not now.filter("moved").isEmpty():
         further = now.select(F.col("word").alias("_at"), F.col("root").alias("_to"))
-        after = now.join(further, F.col("root") == F.col("_at"), "left")
+        after = now.join(further.hint("merge"), F.col("root") == F.col("_at"), "left")
         before, now = now, table(after.select("word", F.coalesce("_to", "root").alias("root"), F.col("_to").isNotNull().alias("moved")), "spelling-roots")
         drop(before)
     return now.drop("moved")
@@ -241,7 +242,7 @@ def grouped(words: DataFrame, p: SpellingParams = SpellingParams()) -> DataFrame
     form = -F.col("x.less") >= p.ratio * F.col("a_n")
     best = table(best.select(F.col("a").alias("word"), "n_near", F.when(form, F.col("x.b")).alias("form"), F.when(form, -F.col("x.less")).alias("form_n")), "spelling-best")
     roots = _roots(best.filter("form IS NOT NULL"))
-    out = words.join(best, "word", "left").join(roots, "word", "left")
+    out = words.join(best.hint("merge"), "word", "left").join(roots.hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), "form_n")
 
 

@@ -120,3 +120,9 @@ def test_one_edit():
     chars = lambda s: np.array([[ord(c) for c in s]])
     assert spelling._one_edit(chars("abc"), chars("axc"))[0] and not spelling._one_edit(chars("abc"), chars("abc"))[0]
     assert spelling._one_edit(chars("aab"), chars("ab"))[0] and not spelling._one_edit(chars("abc"), chars("ba"))[0]
+
+
+def test_no_table_goes_through_the_driver(spark):
+    words = spark.createDataFrame([("abcdefgh", 40), ("abcdefgi", 2), ("abcdefg", 3)], "word string, n long")
+    plan = spelling.grouped(words)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
