@@ -46,7 +46,8 @@ class SubstringParams:
     slice_bytes: int = 1 << 21
     spread: int = 1  # parts for each shuffle partition, at least
     part_bytes: int = 1 << 23  # text of a part, at most about
-    bucket_bytes: int = 1 << 22  # text of a shard that is searched at a time
+    bucket_bytes: int = 1 << 20  # text of a shard that is searched at a time
+    held: int = 1 << 18  # later places that a search gathers before it hands them on
     patterns: int = 50_000  # word sequences of one automaton
 
 
@@ -217,24 +218,31 @@ def _later(keys: np.ndarray, places: np.ndarray, number: np.ndarray) -> np.ndarr
     return order[(keys[order] != keys[order][lead]) | (places[order] != places[order][lead])]
 
 
+def _loaded(batches, facts: list[np.ndarray], buf: bytearray):
+    """Adds the pieces of a part to ``facts`` and ``buf``, row by row and without a second copy; hands on rows of recurrences."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            kind, part, text, blob = (c[n] for c in batch.columns)
+            if kind.as_py():
+                yield _batch([(kind.as_py(), part.as_py(), text.as_py(), blob.as_py())])
+            else:
+                buf += zstandard.ZstdDecompressor().decompress(text.as_buffer())
+                facts.append(unpacked(blob.as_buffer(), 4))
+
+
 def _searched(shards: int, p: SubstringParams):
     def run(batches):
-        texts, facts = [], []
-        for batch in batches:
-            for kind, part, text, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind:
-                    yield _batch([(kind, part, text, blob)])
-                else:
-                    texts.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8))
-                    facts.append(unpacked(blob, 4))
+        facts, data = [], bytearray()
+        yield from _loaded(batches, facts, data)
         if not facts:
             return
-        buf = np.concatenate(texts)
+        buf = np.frombuffer(data, np.uint8)
         keys, places, size, tag = np.concatenate(facts, axis=1)
-        del texts, facts
+        del facts
         start = np.cumsum(size) - size
         bucket = tag * (1 + len(buf) // p.bucket_bytes) >> 16
         order = np.argsort(bucket, kind="stable")
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for a, b in groups(bucket[order]):
             mine = order[a:b]
             # equal pieces of several slices are read once; what is found there is found in all of them
@@ -252,8 +260,12 @@ def _searched(shards: int, p: SubstringParams):
             owner = mine[of[expanded((np.cumsum(copies) - copies)[piece], times)]]
             k, at = keys[owner], places[owner] + np.repeat(found - w.first[piece], times)
             later = _later(k, at, np.repeat(number, times))
-            if len(later):
-                yield _batch(list(_recurring(k[later], at[later], shards)))
+            held.append((k[later], at[later]))
+            if sum(len(k) for k, _ in held) >= p.held:
+                yield _batch(list(_recurring(*(np.concatenate(x) for x in zip(*held, strict=True)), shards)))
+                held = []
+        if held:
+            yield _batch(list(_recurring(*(np.concatenate(x) for x in zip(*held, strict=True)), shards)))
 
     return run
 

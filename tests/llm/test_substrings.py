@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -97,6 +98,28 @@ def test_automata_decide(spark, words, monkeypatch):
     assert not found_in_shard(rows, p)
 
 
+def test_a_part_is_searched_in_little_memory(words):
+    """What a task holds beside a part's text is bounded by what is searched at a time; later places are handed on together."""
+    import pyarrow as pa
+
+    rng = random.Random(10)
+    text = [" ".join(rng.choice(words) + rng.choice(words) for _ in range(700)) for _ in range(400)]
+    rows = [(i, t + " " + text[0][:400]) for i, t in enumerate(text)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[a : a + 100]]), pa.array([0] * len(rows[a : a + 100]), pa.int32()), pa.array([r[1] for r in rows[a : a + 100]])], names=["_key", "_k", "text"]) for a in range(0, len(rows), 100)]
+    p = substrings.SubstringParams()
+    sent = pa.Table.from_batches(list(substrings._pieces(1, 1, p)(batches))).filter(pa.compute.field("kind") == 0).to_batches()
+    size = sum(substrings.unpacked(blob, 4)[2].sum() for b in sent for blob in b.column("blob").to_pylist())
+    assert size > 8 << 20
+    tracemalloc.start()
+    try:
+        found = list(substrings._searched(1, p)(iter(sent)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100 << 20
+    assert len(found) == 1 and found[0].num_rows == 1
+
+
 def brute_later(texts, width=20):
     seen = set()
     for i, t in enumerate(texts):
