@@ -11,6 +11,8 @@ decide every pair of a bucket, without ever listing all pairs of a group:
 3. nodes outside a bucket's largest component against its members in other components: as pairs
    in buckets of at most ``pair_bucket`` nodes; in larger ones whole shingle sets meet in cells of about ``cell`` sets
    and ``cell_shingles`` shingles a side, are counted against each other by matrix products, and only links leave the cell.
+   Larger ones that share their largest component are compared as one where that is less work: near copies meet in
+   up to ``bands`` buckets, and are sent once then.
 
 A pair is put aside when its signatures agree in too few places for the asked similarity (six
 standard deviations below it), else it is confirmed on the full shingle sets of the two whole
@@ -209,15 +211,33 @@ def shared_counts(rows: list[np.ndarray], columns: list[np.ndarray], width: int)
     return out
 
 
-def _within_cells(placed: DataFrame, sizes: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
+def _weights(here: DataFrame, p: NearDupParams, *by: str) -> DataFrame:
+    """Of every group: blocks of its outsiders (obs) and of its members (mbs), rows that go to its cells, pairs compared in them."""
+    weight = here.groupBy(*by).agg(F.sum("n").alias("all_n"), F.sum(F.when(F.col("out"), F.col("n")).otherwise(0)).alias("out_n"), F.count("*").alias("all_c"), F.count_if("out").alias("out_c"))
+    blocks = lambda side: F.expr(f"cast(greatest({side}_n div {p.cell_shingles}, {side}_c div {p.cell}) + 1 AS int)")
+    weight = weight.withColumn("obs", blocks("out")).withColumn("mbs", blocks("all"))
+    return weight.select(*by, "obs", "mbs", F.expr("out_c * mbs + all_c * obs").alias("rows"), F.expr("double(out_c) * all_c").alias("pairs"))
+
+
+def _merged(here: DataFrame, p: NearDupParams) -> DataFrame:
+    """(largest): components whose buckets cost fewer rows and no more pairs as one group, each node once in it, than one by one."""
+    apart = _weights(here, p, "largest", "key").groupBy("largest").agg(F.sum("rows").alias("rows_apart"), F.sum("pairs").alias("pairs_apart"))
+    together = _weights(here.drop("key").distinct(), p, "largest")
+    return together.join(apart, "largest").filter("rows < rows_apart AND pairs <= pairs_apart").select("largest")
+
+
+def _within_cells(placed: DataFrame, sizes: DataFrame, twice: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
     """Confirmed links (u, v) between outsiders and members of other components, cell by cell.
 
-    A cell gets about ``cell`` sets and ``cell_shingles`` shingles a side, so its memory is bounded by that or by the longest set."""
-    here = placed.join(sizes, "key").join(nodes.groupBy("node").agg(F.sum("n").alias("n")), "node").withColumn("out", F.col("own") != F.col("largest"))
-    weight = here.groupBy("key").agg(F.sum("n").alias("all_n"), F.sum(F.when(F.col("out"), F.col("n")).otherwise(0)).alias("out_n"), F.count("*").alias("all_c"), F.count_if("out").alias("out_c"))
-    blocks = lambda side: F.expr(f"cast(greatest({side}_n div {p.cell_shingles}, {side}_c div {p.cell}) + 1 AS int)")
-    weight = weight.select("key", blocks("out").alias("obs"), blocks("all").alias("mbs"))
-    here = here.join(weight, "key")
+    A cell gets about ``cell`` sets and ``cell_shingles`` shingles a side, so its memory is bounded by that or by the longest set.
+    Groups are buckets, or all those of one largest component (``_merged``), which hold every pair of each of them."""
+    buckets = placed.join(sizes.select("key", "largest"), "key").join(twice.withColumnRenamed("doc_id", "node"), "node", "left")
+    buckets = buckets.withColumn("n", F.coalesce("whole", "n")).withColumn("out", F.col("own") != F.col("largest")).drop("whole")
+    buckets = table(buckets, "minmax-buckets")
+    named = sizes.select("key", "largest").join(_merged(buckets, p).withColumn("merged", F.lit(True)), "largest", "left").select("key", F.coalesce("merged", F.lit(False)).alias("merged"))
+    here = buckets.join(named, "key").withColumn("key", F.struct("merged", F.when(F.col("merged"), F.col("largest")).otherwise(F.col("key")).alias("of")))
+    here_rows = table(here.select("key", "node", "own", "n", "out").distinct(), "minmax-here")
+    here = here_rows.join(_weights(here_rows, p, "key").drop("rows", "pairs"), "key")
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     here = here.withColumn("my_ob", mine("obs")).withColumn("my_mb", mine("mbs"))
@@ -257,7 +277,7 @@ def _within_cells(placed: DataFrame, sizes: DataFrame, nodes: DataFrame, docs: D
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     found = table(ordered.mapInArrow(run, "u long, v long").distinct(), "minmax-cells")
-    drop(wanted)
+    drop(wanted, buckets, here_rows)
     return found
 
 
@@ -285,12 +305,12 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     reps = table(full.groupBy("digest").agg(F.min("doc_id").alias("node")), "minmax-digests")
     nodes = full.join(reps, "digest").filter("doc_id = node").dropDuplicates(["digest"]).select("node", "n", "bands", "sig")
     nodes = table(nodes, "minmax-nodes")
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), F.col("node"))).alias("drawn")).filter("lo != hi")
-    members = table(keyed.join(shared, "key").select("key", "node", F.col("lo").alias("least"), F.col("drawn.node").alias("drawn")), "minmax-members")
+    members = table(keyed.join(shared, "key").select("key", "node", "n", F.col("lo").alias("least"), F.col("drawn.node").alias("drawn")), "minmax-members")
 
     # rows of one doc_id are linked whatever they hold
-    twice = full.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo != hi").select("doc_id")
+    twice = table(full.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.sum("n").alias("whole")).filter("lo != hi").select("doc_id", "whole"), "minmax-twice")
     links = full.join(twice, "doc_id").join(reps, "digest").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).filter("u != v").distinct()
 
     best = members.filter("node != least").groupBy("node", "least").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "least")).alias("x"))
@@ -303,17 +323,17 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     links = comps.unionByName(_confirmed(stars, nodes, docs, p))
     comps = components(links)
 
-    placed = table(_with_component(members.select("key", "node"), comps, "node", "own"), "minmax-placed")
+    placed = table(_with_component(members.select("key", "node", "n"), comps, "node", "own"), "minmax-placed")
     sizes = _unsettled(placed)
     few, many = sizes.filter(F.col("total") <= p.pair_bucket), sizes.filter(F.col("total") > p.pair_bucket)
     links = comps.unionByName(_confirmed(_pairs_of(placed, few), nodes, docs, p))
     if not many.isEmpty():
-        links = links.unionByName(_within_cells(placed, many, nodes, docs, p))
+        links = links.unionByName(_within_cells(placed, many, twice, docs, p))
     comps = components(links)
 
     homes = _with_component(reps.select("digest", "node"), comps, "node", "component")
     named = table(homes.select(F.col("digest").alias("_digest"), "component"), "minmax-named")
-    drop(reps, nodes, members, placed, sizes, comps)
+    drop(reps, nodes, members, twice, placed, sizes, comps)
     out = rows.select("doc_id", "n", "digest").join(named, F.col("digest") == F.col("_digest"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

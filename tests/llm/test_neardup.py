@@ -84,6 +84,30 @@ def test_large_buckets_of_unrelated_texts(spark, words, p):
     assert {r.doc_id: r.component_id for r in neardup.classes(make_docs(spark, rows), p).collect()} == want
 
 
+def test_near_copies_are_sent_to_cells_once(spark, words, monkeypatch):
+    """Copies at the edge of the similarity meet in many buckets; whole texts go to one group of cells, and an id of several texts counts whole."""
+    rng = random.Random(13)
+    hub = [rng.choice(words) for _ in range(70)]
+    rows = []
+    for i in range(150):
+        copy = list(hub)
+        for _ in range(rng.randint(0, 7)):
+            copy[rng.randrange(70)] = rng.choice(words)
+        rows.append((i if i % 30 else 7, " ".join(copy), "en", "src0"))
+    sent, with_texts = [], neardup._with_texts
+
+    def counted(wanted, docs, p):
+        if "mb" in wanted.columns:
+            sent.append((wanted.count(), wanted.select("node").distinct().count()))
+        return with_texts(wanted, docs, p)
+
+    monkeypatch.setattr(neardup, "_with_texts", counted)
+    out = neardup.classes(make_docs(spark, rows), neardup.NearDupParams(width=2)).collect()
+    assert {r.doc_id: r.component_id for r in out} == brute(rows, 2)
+    (rows_sent, nodes), = sent
+    assert nodes > 50 and rows_sent <= 2 * nodes
+
+
 def test_very_long_texts(spark, words):
     rng = random.Random(12)
     long = [rng.choice(words) + str(rng.randrange(1000)) for _ in range(1_000_000)]
