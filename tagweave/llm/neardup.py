@@ -164,9 +164,9 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDupPa
 
     Each centre a is sent once to every group of its partners; groups of a hot centre are split."""
     pairs = table(_likely(pairs, nodes, p), "minmax-likely")
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("m"))
-    dealt = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.expr(f"m div {p.per_salt} + 1")).cast("int"))
-    dealt = table(dealt.select("a", "b", "salt"), "minmax-dealt")
+    hot = pairs.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") >= p.per_salt)
+    few = pairs.count() <= p.broadcast_rows * p.per_salt
+    dealt = pairs.join(F.broadcast(hot) if few else hot, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.expr(f"coalesce(m, 0) div {p.per_salt} + 1")).cast("int"))
     wanted = dealt.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("node")).distinct().unionByName(dealt.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("node")))
     wanted = table(wanted, "minmax-wanted")
     loaded = _with_texts(wanted, docs, p).select("a", "salt", "role", "node", "text")
@@ -188,7 +188,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDupPa
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     links = table(ordered.mapInArrow(run, "u long, v long"), "minmax-links")
-    drop(pairs, dealt, wanted)
+    drop(pairs, wanted)
     return links
 
 
@@ -219,25 +219,30 @@ def _weights(here: DataFrame, p: NearDupParams, *by: str) -> DataFrame:
     return weight.select(*by, "obs", "mbs", F.expr("out_c * mbs + all_c * obs").alias("rows"), F.expr("double(out_c) * all_c").alias("pairs"))
 
 
-def _merged(here: DataFrame, p: NearDupParams) -> DataFrame:
-    """(largest): components whose buckets cost fewer rows and no more pairs as one group, each node once in it, than one by one."""
-    apart = _weights(here, p, "largest", "key").groupBy("largest").agg(F.sum("rows").alias("rows_apart"), F.sum("pairs").alias("pairs_apart"))
-    together = _weights(here.drop("key").distinct(), p, "largest")
-    return together.join(apart, "largest").filter("rows < rows_apart AND pairs <= pairs_apart").select("largest")
+def _grouped(buckets: DataFrame, p: NearDupParams) -> DataFrame:
+    """(key, merged, obs, mbs): of every bucket its blocks, or those of all buckets of its largest component where these
+    cost fewer rows and no more pairs as one group, each node once in it, than one by one."""
+    apart = table(_weights(buckets, p, "largest", "key"), "minmax-weights")
+    together = _weights(buckets.drop("key").distinct(), p, "largest")
+    costs = apart.groupBy("largest").agg(F.sum("rows").alias("rows_apart"), F.sum("pairs").alias("pairs_apart"))
+    one = together.join(costs, "largest").filter("rows < rows_apart AND pairs <= pairs_apart").select("largest", F.col("obs").alias("one_obs"), F.col("mbs").alias("one_mbs"))
+    named = apart.join(one, "largest", "left")
+    groups = table(named.select("key", F.col("one_obs").isNotNull().alias("merged"), F.coalesce("one_obs", "obs").alias("obs"), F.coalesce("one_mbs", "mbs").alias("mbs")), "minmax-groups")
+    drop(apart)
+    return groups
 
 
 def _within_cells(placed: DataFrame, sizes: DataFrame, twice: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
     """Confirmed links (u, v) between outsiders and members of other components, cell by cell.
 
     A cell gets about ``cell`` sets and ``cell_shingles`` shingles a side, so its memory is bounded by that or by the longest set.
-    Groups are buckets, or all those of one largest component (``_merged``), which hold every pair of each of them."""
+    Groups are buckets, or all those of one largest component (``_grouped``), which hold every pair of each of them."""
     buckets = placed.join(sizes.select("key", "largest"), "key").join(twice.withColumnRenamed("doc_id", "node"), "node", "left")
     buckets = buckets.withColumn("n", F.coalesce("whole", "n")).withColumn("out", F.col("own") != F.col("largest")).drop("whole")
     buckets = table(buckets, "minmax-buckets")
-    named = sizes.select("key", "largest").join(_merged(buckets, p).withColumn("merged", F.lit(True)), "largest", "left").select("key", F.coalesce("merged", F.lit(False)).alias("merged"))
-    here = buckets.join(named, "key").withColumn("key", F.struct("merged", F.when(F.col("merged"), F.col("largest")).otherwise(F.col("key")).alias("of")))
-    here_rows = table(here.select("key", "node", "own", "n", "out").distinct(), "minmax-here")
-    here = here_rows.join(_weights(here_rows, p, "key").drop("rows", "pairs"), "key")
+    groups = _grouped(buckets, p)
+    here = buckets.join(groups, "key").withColumn("key", F.struct("merged", F.when(F.col("merged"), F.col("largest")).otherwise(F.col("key")).alias("of")))
+    here_rows = here = table(here.select("key", "node", "own", "n", "out", "obs", "mbs").distinct(), "minmax-here")
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     here = here.withColumn("my_ob", mine("obs")).withColumn("my_mb", mine("mbs"))
@@ -277,7 +282,7 @@ def _within_cells(placed: DataFrame, sizes: DataFrame, twice: DataFrame, docs: D
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     found = table(ordered.mapInArrow(run, "u long, v long").distinct(), "minmax-cells")
-    drop(wanted, buckets, here_rows)
+    drop(wanted, buckets, groups, here_rows)
     return found
 
 

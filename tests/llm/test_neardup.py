@@ -150,3 +150,25 @@ def test_components(spark):
             x, y = find(a), find(b)
             home[max(x, y)] = min(x, y)
     assert got == {i: find(i) for i in home if find(i) != i}
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Edges that are stars, also with repeats, are found to be so without rewriting them all once to see that nothing changes."""
+    rounds, large_star = [], graph._large_star
+    monkeypatch.setattr(graph, "_large_star", lambda e: rounds.append(1) or large_star(e))
+    edges = [(i, i % 7) for i in range(7, 400)] * 2
+    out = graph.components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect()
+    assert sorted((r.u, r.v) for r in out) == [(i, i % 7) for i in range(7, 400)]
+    assert not rounds
+
+
+def test_stars_of_edges():
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 1), (50, 30), (300, 290), (300, 2000)):
+        u, v = rng.integers(-n, n, m), rng.integers(-n, n, m)
+        home = {i: i for i in [*u.tolist(), *v.tolist()]}
+        for _ in range(len(home)):
+            for a, b in zip(u.tolist(), v.tolist(), strict=True):
+                home[a] = home[b] = min(home[a], home[b])
+        got = dict(zip(*(x.tolist() for x in graph.stars(u, v)), strict=True))
+        assert got == {i: c for i, c in home.items() if i != c}
