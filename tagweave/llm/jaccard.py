@@ -37,9 +37,11 @@ from tagweave.llm.graph import components
 from tagweave.llm.neardup import node_of, shingle_sets
 from tagweave.llm.rows import bundled, expanded, groups, parts_for, shard_of, unbundled
 from tagweave.llm.text import slices
-from tagweave.plans.storage import drop, table, tasks_for
+from tagweave.plans import storage
+from tagweave.plans.storage import drop, tasks_for
 
 _KEY = 40  # bits of an n-gram within its part
+_BATCH_BYTES = 1 << 22  # texts and blobs that go to Python at once; by rows alone a batch may hold tens of MB
 
 
 @dataclass(frozen=True)
@@ -66,6 +68,10 @@ class JaccardParams:
         return -(-2 * self.num * n // (self.num + self.den))
 
 
+def table(df: DataFrame, name: str) -> DataFrame:
+    return storage.table(df, name, _BATCH_BYTES)
+
+
 def _sized(docs: DataFrame, p: JaccardParams) -> DataFrame:
     """(doc_id, h, n, digest) of every row: hash of the text, size and digest of its set."""
 

@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tagweave.llm import jaccard
+from tagweave.plans import storage
 from tests.llm.conftest import make_docs
 from tests.llm.test_neardup import brute, shingles
 
@@ -105,3 +107,20 @@ def test_very_long_texts_and_empty_table(spark, words, no_docs):
     docs = make_docs(spark, [(i, " ".join(w), "en", "src0") for i, w in enumerate((long, near, far))])
     assert found(docs, jaccard.JaccardParams()) == {0: 0, 1: 0, 2: 2}
     assert jaccard.joined(no_docs).count() == 0
+
+
+def test_texts_go_to_tasks_in_small_batches(spark, docs, monkeypatch):
+    """Batches are bounded in bytes, not in rows alone; the session's own setting stays."""
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["bytes"])
+
+    wide = spark.range(5000, numPartitions=1).selectExpr("repeat(cast(id AS string), 500) AS text").mapInArrow(held, "bytes long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    sizes = [r.bytes for r in jaccard.table(wide, "batches").collect()]
+    assert len(sizes) > 1 and max(sizes) <= 5 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+    given, table = [], storage.table
+    monkeypatch.setattr(storage, "table", lambda df, name, size=None: given.append(size) or table(df, name, size))
+    jaccard.joined(docs).count()
+    assert given and all(size and size <= 1 << 22 for size in given)
